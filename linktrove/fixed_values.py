@@ -70,6 +70,8 @@ NOTEBOOK_URLS = [
     r"^https?://nbviewer\.jupyter\.org/.*\.ipynb",
     r"^https?://(?:www\.)?deepnote\.com/.*",
 ]
+# A text without any of these words cannot hold a notebook URL.
+NOTEBOOK_HINT = r"ipynb|colab\.research\.google|kaggle\.com|deepnote\.com"
 VIDEO_HOSTS = ["www.youtube.com", "youtube.com"]
 PLAYLIST_HOSTS = ["www.youtube.com", "youtube.com", "m.youtube.com"]
 

@@ -31,7 +31,7 @@ def ordered_parts(
     """
     rows = df.withColumn("part", F.floor(F.col(index) / F.lit(part_rows)).cast("int"))
     listed = rows.groupBy(*keys, "part").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), value.alias("v")))).alias("_rows")
+        F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), value.alias("v")))).alias("_rows")
     )
     return listed.withColumn(out, F.transform("_rows", lambda r: r["v"])).drop("_rows")
 

@@ -79,33 +79,35 @@ def console_filter(messages: DataFrame, strict: bool = True) -> DataFrame:
     return messages.where(kept)
 
 
+PIECE = 8
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` characters of a text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
 def apply_rules(df: DataFrame, key: str, text: str, rules: DataFrame, phrase: str = "phrase", max_rules: int = 500) -> DataFrame:
     """Rows whose text contains any phrase of a rule table.
 
-    Up to ``max_rules`` phrases (counted first) travel with the plan as one
-    alternation.  A larger table is matched by equality: each phrase is looked
-    up by its first characters among the texts' pieces of that length, and the
-    few candidates are checked in full.
+    Up to ``max_rules`` phrases (counted first) travel with the plan.  A larger
+    table is matched by equality: each phrase is looked up by its first
+    characters among the texts' pieces of that length, and the few candidates
+    are checked in full.
     """
     phrases = rules.select(F.col(phrase).alias("phrase")).where("phrase <> ''").distinct()
     some = [r[0] for r in phrases.limit(max_rules + 1).collect()]
     if len(some) <= max_rules:
-        return df.where(contains_any(F.col(text), sorted(some)) if some else F.lit(False))
+        listed = F.array(*[F.lit(p) for p in sorted(some)]).cast("array<string>")
+        return df.where(F.exists(listed, lambda p: F.contains(F.col(text), p)))
     return df.join(_contained(df.select(key, F.col(text).alias("text")), key, phrases), key, "left_semi")
 
 
-PIECE = 8
-
-
 def _contained(texts: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     size = F.least(F.length("phrase"), F.lit(PIECE))
-    rules = phrases.select("phrase", size.alias("size"), F.left("phrase", size).alias("piece"))
-    sizes = F.array(*[F.lit(n) for n in range(1, PIECE + 1)])
-    pieces = F.flatten(F.transform(sizes, lambda n: F.when(
-        F.length("text") >= n,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, n))),
-    ).otherwise(F.array().cast("array<string>"))))
+    rules = phrases.select("phrase", F.left("phrase", size).alias("piece"))
+    pieces = F.concat(*[_pieces(F.col("text"), n) for n in range(1, PIECE + 1)])
     wanted = rules.select("piece").distinct()
-    hits = texts.select(key, F.explode(F.array_distinct(pieces)).alias("piece")).join(wanted, "piece", "left_semi")
-    candidates = hits.join(rules.select("piece", "phrase"), "piece").select(key, "phrase")
+    hits = texts.select(key, F.explode(pieces).alias("piece")).join(wanted, "piece", "left_semi")
+    candidates = hits.join(rules, "piece").select(key, "phrase")
     return texts.join(candidates, key).where(F.contains("text", "phrase")).select(key)

@@ -143,7 +143,7 @@ def assemble_tweet(
         media_type_counts(artifacts.withColumn("type", F.coalesce("type", F.lit("unknown"))))
         .groupBy("tweet_id")
         .agg(
-            F.array_sort(F.collect_list(F.struct(F.col("first_seen"), line.alias("line")))).alias("_types"),
+            F.sort_array(F.collect_list(F.struct(F.col("first_seen"), line.alias("line")))).alias("_types"),
             F.sum("n").alias("n_files"),
         )
         .withColumn("type_lines", F.transform("_types", lambda r: r["line"]))

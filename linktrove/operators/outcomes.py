@@ -107,7 +107,7 @@ def run_summary(scope: DataFrame, outcomes: DataFrame) -> DataFrame:
     A notebook task counts both as notebook-skipped and as skipped.
     ``scope`` is one row per task of the project before the limit.
     """
-    considered = scope.agg(F.count(F.lit(1)).alias("total_tasks_considered"))
+    considered = scope.agg(F.count(F.lit(1))).scalar()
     counters = outcomes.agg(
         F.count(F.lit(1)).alias("tasks_to_process"),
         F.count_if(F.col("counted_as") == "successful").alias("successful_tasks"),
@@ -118,12 +118,9 @@ def run_summary(scope: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n_skip"), F.lit(0)).alias("skipped_urls"),
         F.coalesce(F.sum("n_new"), F.lit(0)).alias("processed_urls"),
     )
-    # Both sides are one-row aggregates.
-    one = F.lit(1).alias("_one")
-    both = considered.select("*", one).join(F.broadcast(counters.select("*", one)), "_one")
-    return both.withColumn(
+    return counters.withColumn("total_tasks_considered", considered).withColumn(
         "tasks_remaining_in_capture", F.col("total_tasks_considered") - F.col("_closed")
-    ).drop("_one", "_closed")
+    ).drop("_closed")
 
 
 def batch_summary(results: DataFrame, key: str, success: str = "success") -> DataFrame:

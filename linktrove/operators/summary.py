@@ -27,15 +27,11 @@ def word_weights(docs: DataFrame, text: str = "text") -> DataFrame:
     Distinct words are taken inside the row, so only (word, 1) pairs are
     shuffled, and those are combined first.
     """
-    total = docs.agg(F.count(F.lit(1)).alias("_total"))
-    df = (
+    total = docs.agg(F.count(F.lit(1))).scalar()
+    return (
         docs.select(F.explode(F.array_distinct(words(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
         .groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    )
-    # A one-row aggregate: the document count.
-    with_total = df.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
-    return with_total.select(
-        "word", F.round(F.ln(F.col("_total") / F.col("df")) * 1000).cast("bigint").alias("weight")
+        .select("word", F.round(F.ln(total / F.col("df")) * 1000).cast("bigint").alias("weight"))
     )
 
 
@@ -45,13 +41,17 @@ def ranked_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     The rows of a key come from one text, so a window over a key is bounded by
     that text.
     """
-    per_word = docs.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence")).select(
-        key, "pos",
-        F.size(words(F.col("sentence"))).alias("n_words"),
-        F.explode(F.array_distinct(words(F.col("sentence")))).alias("word"),
+    counted = F.transform(
+        F.transform(sentences(F.col(text)), words),
+        lambda ws: F.struct(F.size(ws).alias("n_words"), F.array_distinct(ws).alias("words")),
+    )
+    per_word = docs.select(key, F.posexplode(counted).alias("pos", "s")).select(
+        key, "pos", "s.n_words", F.explode("s.words").alias("word")
     )
+    # Every word has a weight; the left join only keeps the many word rows from
+    # being taken for the small side.
     scores = (
-        per_word.join(word_weights(docs, text), "word")
+        per_word.join(word_weights(docs, text), "word", "left")
         .groupBy(key, "pos")
         .agg(F.max("n_words").alias("n_words"), F.expr(f"sum(weight) div (count(1) + {DAMPING})").alias("score"))
     )
@@ -68,22 +68,22 @@ def extractive_summary(
     """Best sentences up to ``max_words`` (at least one), and the best few as quotes.
 
     Only positions and scores are shuffled for the ranking; each text meets its
-    chosen positions in one join on the key.
+    chosen positions in one join on the key.  A text without sentences gets NULLs.
     """
     ranked = ranked_sentences(docs, key, text)
     chosen = (
         ranked.where((F.col("words_so_far") <= max_words) | (F.col("rank") == 1))
         .groupBy(key)
         .agg(
-            F.array_sort(F.collect_list("pos")).alias("_in_order"),
-            F.array_sort(
+            F.sort_array(F.collect_list("pos")).alias("_in_order"),
+            F.sort_array(
                 F.collect_list(F.when(F.col("rank") <= max_quotes, F.struct("rank", "pos")))
             ).alias("_best"),
             F.sum("n_words").alias("n_words"),
         )
     )
     texts = docs.select(key, sentences(F.col(text)).alias("_sentences"))
-    return texts.join(chosen, key).select(
+    return texts.join(chosen, key, "left").select(
         key,
         F.array_join(F.transform("_in_order", lambda i: F.col("_sentences")[i]), " ").alias("summary"),
         F.array_join(F.transform("_best", lambda r: F.col("_sentences")[r["pos"]]), "\n").alias("quotes"),

@@ -72,6 +72,10 @@ def extract_task_urls(tasks: DataFrame) -> DataFrame:
 
 
 def notebook_gate(tasks: DataFrame) -> DataFrame:
-    """Tasks with a ``has_notebook`` flag, from the task's own text (no shuffle)."""
+    """Tasks with a ``has_notebook`` flag, from the task's own text (no shuffle).
+
+    URLs are only extracted from texts that name a notebook host at all.
+    """
+    hint = F.concat_ws(" ", "content", "description").rlike(V.NOTEBOOK_HINT)
     found = task_url_array(F.col("content"), F.col("description"))
-    return tasks.withColumn("has_notebook", F.exists(found, U.is_notebook))
+    return tasks.withColumn("has_notebook", F.when(hint, F.exists(found, U.is_notebook)).otherwise(F.lit(False)))

@@ -105,7 +105,7 @@ def languages_by_name(languages: DataFrame) -> DataFrame:
     """
     distinct = languages.select("video_id", "language_name", "language_code", "is_auto_generated").distinct()
     return distinct.groupBy("video_id").agg(
-        F.array_sort(F.collect_list(F.struct("language_name", "language_code", "is_auto_generated"))).alias("languages")
+        F.sort_array(F.collect_list(F.struct("language_name", "language_code", "is_auto_generated"))).alias("languages")
     )
 
 
@@ -114,7 +114,7 @@ def language_available(requests: DataFrame, languages: DataFrame) -> DataFrame:
 
     ``requests``: video_id, language.
     """
-    known = languages.groupBy("video_id").agg(F.array_sort(F.collect_set("language_code")).alias("codes"))
+    known = languages.groupBy("video_id").agg(F.sort_array(F.collect_set("language_code")).alias("codes"))
     joined = requests.join(known, "video_id", "left")
     codes = F.coalesce("codes", F.array().cast("array<string>"))
     ok = F.array_contains(codes, F.col("language"))
@@ -168,7 +168,7 @@ def assemble_video(
     top = (
         top_comments(comments)
         .groupBy("video_id")
-        .agg(F.array_sort(F.collect_list(F.struct("number", "author", "text"))).alias("top_comments"))
+        .agg(F.sort_array(F.collect_list(F.struct("number", "author", "text"))).alias("top_comments"))
     )
     ch = channels.select(
         "channel_id", F.lit(True).alias("_channel"),
@@ -230,7 +230,7 @@ def assemble_video(
 def playlist_block(playlists: DataFrame, items: DataFrame, n: int = V.PLAYLIST_PREVIEW) -> DataFrame:
     """Playlist with its first videos as one attempt row."""
     shown = preview_n(items, n).groupBy("playlist_id").agg(
-        F.array_sort(F.collect_list(F.struct("number", "position", "title", "video_id"))).alias("shown")
+        F.sort_array(F.collect_list(F.struct("number", "position", "title", "video_id"))).alias("shown")
     )
     joined = playlists.join(shown, "playlist_id", "left")
     none = F.array().cast("array<string>")

@@ -409,7 +409,7 @@ summaries AS (
 
 
 ORACLES["extractive_summary"] = f"""WITH {summaries("documents", "doc_id")}
-SELECT doc_id, summary, quotes, n_words FROM summaries"""
+SELECT doc_id, summary, quotes, n_words FROM documents LEFT JOIN summaries USING (doc_id)"""
 
 HIT = """CASE WHEN page_id % 4 = 1 THEN NULL WHEN page_id % 4 = 2 THEN 'Title: Hit 1 for ' || page_id || ' | Description: about ' || page_id
   ELSE 'Title: Hit 1 for ' || page_id END"""
@@ -605,7 +605,7 @@ ORACLES["log_noise_scraper"] = f"""WITH {LOGS} SELECT event_id, message FROM log
     OR ({any_of("message", V.API_POLL_PHRASES)} AND contains(message, 'HTTP/1.1 200')) END"""
 ORACLES["console_filter"] = f"""SELECT event_id, event_type AS type, message FROM (SELECT event_id, event_type, {D.LOG_MESSAGE} AS message FROM events)
 WHERE event_type = 'error' AND message <> '' AND NOT {any_of("lower(message)", V.CONSOLE_ALWAYS_IGNORED + V.CONSOLE_ERROR_IGNORED + V.BROWSER_ERROR_IGNORED)}"""
-ORACLES["apply_rules"] = """WITH rules AS (SELECT DISTINCT split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS phrase FROM benchmark)
+ORACLES["apply_rules"] = """WITH rules AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS phrase FROM part)
 SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM rules WHERE contains(d.text, phrase))"""
 ORACLES["apply_many_rules"] = """WITH rules AS (SELECT DISTINCT split_part(text, ' ', 2) AS phrase FROM benchmark)
 SELECT page_id, url FROM pages p WHERE EXISTS (SELECT 1 FROM rules WHERE phrase <> '' AND contains(p.url, phrase))"""

@@ -728,16 +728,16 @@ def console_filter(spark, sf):
 @query
 def apply_rules(spark, sf):
     """Documents that contain any phrase of a rule table."""
-    rules = D.table(spark, sf, "benchmark").selectExpr("split(text, ' ')[0] || ' ' || split(text, ' ')[1] AS phrase")
+    rules = D.table(spark, sf, "part").selectExpr("split(p_name, ' ')[0] AS phrase")
     docs = D.table(spark, sf, "documents").select("doc_id", "text")
     return logs.apply_rules(docs, "doc_id", "text", rules).select("doc_id")
 
 
 @query
 def apply_many_rules(spark, sf):
-    """The same rules on the path for rule tables too large to travel with the plan."""
-    rules = D.table(spark, sf, "benchmark").selectExpr("split(text, ' ')[0] || ' ' || split(text, ' ')[1] AS phrase")
-    return logs.apply_rules(D.table(spark, sf, "pages").select("page_id", "url"), "page_id", "url", rules.selectExpr("split(phrase, ' ')[1] AS phrase"), max_rules=0)
+    """The path for rule tables too large to travel with the plan."""
+    rules = D.table(spark, sf, "benchmark").selectExpr("split(text, ' ')[1] AS phrase")
+    return logs.apply_rules(D.table(spark, sf, "pages").select("page_id", "url"), "page_id", "url", rules, max_rules=0)
 
 
 # --- streams -------------------------------------------------------------------------------------------------------

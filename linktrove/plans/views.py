@@ -12,10 +12,14 @@ from linktrove import fixed_values as V
 from linktrove.functions import urls as U
 from linktrove.operators import tasks as K
 from linktrove.operators.outcomes import is_ok
+from linktrove.sources.tables import read_table
+
+
+COSTLY_ROWS = ("pages", "documents", "conversations")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet", spread=name in COSTLY_ROWS)
 
 
 # A third of all captures refer to the same things (q = 0): a hot key on purpose.
