@@ -20,6 +20,9 @@ RAW_BLOCKS: list[Rule] = [
     (rf"(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)", "") for tag in ("script", "style", "head")
 ] + [(r"(?s)<!--.*?(?:-->|\z)", "")]
 
+# The same without "head", for rules that read the title.
+HIDDEN_BLOCKS: list[Rule] = [rule for rule in RAW_BLOCKS if "<head" not in rule[0]]
+
 WHITESPACE: list[Rule] = [(r"[ \t\r\n\f]+", " ")]
 
 TEXT_BLOCKS: list[Rule] = [

@@ -76,9 +76,10 @@ def field(html: Column, rule: FieldRule) -> Column:
 
 
 def page_fields(pages: DataFrame, rules: list[FieldRule] = PAGE_RULES) -> DataFrame:
-    """One column per rule, straight from the HTML text."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    return pages.select("page_id", "url", *[field(html, r).alias(r.name) for r in rules])
+    """One column per rule, from the HTML text without scripts and comments."""
+    shown = H.apply_rules(F.coalesce(F.col("html"), F.lit("")), H.HIDDEN_BLOCKS)
+    html = F.col("_html")
+    return pages.select("page_id", "url", shown.alias("_html")).select("page_id", "url", *[field(html, r).alias(r.name) for r in rules])
 
 
 def repo_fields(pages: DataFrame) -> DataFrame:
