@@ -1,17 +1,18 @@
 """Ledger check and per-task video check together, for URLs that share a video.
 
-When several URLs name one video, the two checks feed each other: a task tries
-the first URL of the video that has not succeeded yet, and that try may in turn
-make a URL succeed for later tasks.  All dependence stays inside one video, and
-a video's state changes only when one more of its URLs succeeds.
-
-So instead of walking the rows of a video in one task, each round finds the
-next change of every video by aggregates: the first task, after the last known
-change, whose tried URL succeeds.  Rounds end when nothing changes, after at
-most "URLs per video" rounds, however many rows a video has.
+A task tries, for each video, the first of its URLs that has not succeeded
+before; a try may make a URL succeed for later tasks.  So where a task holds
+several URLs of one video, what it tries depends on when the others succeeded.
+
+Instead of walking rows in order, the time of each URL's first success is
+narrowed from both sides.  ``hi`` counts only tries that are certain, ``lo``
+all that are still possible.  Each round tightens both for all videos at once
+by joins and aggregates; the earliest open row is always decided by the next
+round, so the bounds meet.  Rows of tasks with one URL of a video (nearly all)
+are certain from the start and take no part in the rounds.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linktrove.sources.scratch import materialize
@@ -19,16 +20,25 @@ from linktrove.sources.scratch import materialize
 TASK_ORDER = ["created_at", "task_id"]
 
 
-def _tried(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Row a task tries for a video: its first URL not known as succeeded before it."""
-    open_rows = (
-        rows.join(known, ["group_id", "url"], "left")
-        .where(F.col("since").isNull() | ~(F.col("since") < F.col("at")))
-        .drop("since")
+def _narrow(several: DataFrame, bounds: DataFrame) -> DataFrame:
+    """One round: new bounds (url, first, lo, hi) from the old ones."""
+    # A window over the URLs of one video in one task: bounded by the task's own text.
+    earlier = Window.partitionBy("group_id", "task_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.count(F.lit(1)).over(earlier)
+
+    def all_before(bound: str):
+        """Every earlier URL of the task succeeded before the task (none: true)."""
+        return (n == 0) | ((F.count(bound).over(earlier) == n) & (F.max(bound).over(earlier) < F.col("at")))
+
+    judged = several.join(bounds.select("url", "lo", "hi"), "url").select(
+        "url", "at", "success", all_before("hi").alias("certain"), all_before("lo").alias("possible")
+    )
+    wins = judged.where("success AND possible").groupBy("url").agg(
+        F.min("at").alias("possible_at"), F.min(F.when(F.col("certain"), F.col("at"))).alias("certain_at")
+    )
+    return bounds.select("url", "first").join(wins, "url", "left").select(
+        "url", "first", F.least("first", "possible_at").alias("lo"), F.least("first", "certain_at").alias("hi")
     )
-    return open_rows.groupBy("group_id", "at").agg(
-        F.min_by(F.struct("url", "success"), "pos").alias("t"), F.min("pos").alias("first_pos")
-    ).select("group_id", "at", "t.url", "t.success", "first_pos")
 
 
 def gate_with_aliases(rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -36,63 +46,57 @@ def gate_with_aliases(rows: DataFrame, ledger: DataFrame) -> DataFrame:
 
     ``rows``: created_at, task_id, pos, url, video_id, success, where success
     is what a try would give.  A URL occurs once per task.
-
-    A video (or plain URL) with one URL needs no rounds: its URL is known from
-    its first success on.  Only rows of videos with several URLs are written
-    aside for the rounds.
     """
     at = F.struct(*TASK_ORDER)
     never = F.struct(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in TASK_ORDER])
-    group = F.coalesce(F.concat(F.lit("v:"), "video_id"), F.concat(F.lit("u:"), "url"))
-    keyed = rows.select("*", at.alias("at"), group.alias("group_id"))
-    slim = keyed.select("group_id", "url", "at", "pos", F.coalesce("success", F.lit(False)).alias("success"))
+    keyed = rows.withColumn("at", at)
+    slim = keyed.select(
+        F.col("video_id").alias("group_id"), "task_id", "url", "at", "pos",
+        F.coalesce("success", F.lit(False)).alias("success"),
+    )
 
-    urls = slim.groupBy("group_id", "url").agg(F.min(F.when(F.col("success"), F.col("at"))).alias("first_ok"))
-    done = ledger.where("success").groupBy("url").agg(F.lit(True).alias("done"))
-    sizes = urls.groupBy("group_id").agg((F.count(F.lit(1)) > 1).alias("aliased"))
-    urls = materialize(urls.join(done, "url", "left").join(sizes, "group_id"), "urls")
+    sizes = slim.where("group_id IS NOT NULL").groupBy("group_id", "task_id").agg(F.count(F.lit(1)).alias("n"))
+    marked = slim.join(sizes.where("n > 1"), ["group_id", "task_id"], "left")
+    several = materialize(marked.where("n IS NOT NULL").drop("n"), "several_urls")
 
-    known = urls.where("done OR (NOT aliased AND first_ok IS NOT NULL)").select(
-        "group_id", "url", F.when(F.col("done"), never).otherwise(F.col("first_ok")).alias("since")
+    # First success by certain rows; a ledger success (NULL fields) is before every task.
+    certain = marked.where("n IS NULL AND success").select("url", "at")
+    done = ledger.where("success").select("url", never.alias("at"))
+    first = certain.unionByName(done).groupBy("url").agg(F.min("at").alias("first"))
+
+    if several.isEmpty():
+        return _with_action(keyed, first.select("url", F.col("first").alias("since")), None)
+
+    wins = several.groupBy("url").agg(F.min(F.when(F.col("success"), F.col("at"))).alias("win"))
+    bounds = materialize(
+        wins.join(first, "url", "left").select("url", "first", F.least("first", "win").alias("lo"), F.col("first").alias("hi")),
+        "bounds",
+    )
+    while not bounds.where(~F.col("lo").eqNullSafe(F.col("hi"))).isEmpty():
+        bounds = materialize(_narrow(several, bounds), "bounds")
+
+    solved = bounds.select("url", F.col("hi").alias("since"))
+    known = first.join(solved, "url", "left_anti").select("url", F.col("first").alias("since")).unionByName(
+        solved.where("since IS NOT NULL")
     )
-    # Only a URL with some success left can change the state of its video.
-    can_change = F.col("done").isNull() & F.col("first_ok").isNotNull()
-    aliased = urls.where("aliased").groupBy("group_id").agg(F.count_if(can_change).alias("n_open"))
-    open_groups = aliased.where("n_open > 0").select("group_id")
-    rounds = aliased.agg(F.max("n_open")).first()[0]  # NULL when no video has several URLs
-    tried = None
-    if rounds is not None:
-        slim = materialize(slim.join(aliased, "group_id", "left_semi"), "aliased_rows")
-        for _ in range(rounds):
-            last = known.groupBy("group_id").agg(F.max("since").alias("last"))
-            later = (
-                slim.join(open_groups, "group_id", "left_semi")
-                .join(last, "group_id", "left")
-                .where(F.col("last").isNull() | (F.col("last") < F.col("at")))
-                .drop("last")
-            )
-            change = materialize(
-                _tried(later, known)
-                .where("success")
-                .groupBy("group_id")
-                .agg(F.min_by("url", "at").alias("url"), F.min("at").alias("since"))
-                .select("group_id", "url", "since"),
-                "changes",
-            )
-            if change.isEmpty():
-                break
-            known = known.unionByName(change)
-            open_groups = change.select("group_id")
-        tried = _tried(slim, known).select("group_id", "at", "first_pos")
-
-    gated = keyed.join(known.select("url", "since"), "url", "left")
+    tried = (
+        several.join(solved, "url")
+        .where(~F.coalesce(F.col("since") < F.col("at"), F.lit(False)))
+        .groupBy(F.col("group_id").alias("video_id"), "task_id")
+        .agg(F.min("pos").alias("first_pos"))
+    )
+    return _with_action(keyed, known, tried)
+
+
+def _with_action(keyed: DataFrame, known: DataFrame, tried: DataFrame | None) -> DataFrame:
+    gated = keyed.join(known, "url", "left")
     if tried is None:
         gated = gated.withColumn("first_pos", F.lit(None).cast("int"))
     else:
-        gated = gated.join(tried, ["group_id", "at"], "left")
+        gated = gated.join(tried, ["video_id", "task_id"], "left")
     return gated.withColumn(
         "action",
         F.when(F.coalesce(F.col("since") < F.col("at"), F.lit(False)), "ledger_skip")
         .when(F.col("pos") > F.col("first_pos"), "duplicate")
         .otherwise("try"),
-    ).drop("group_id", "at", "since", "first_pos")
+    ).drop("at", "since", "first_pos")

@@ -29,11 +29,10 @@ def artifact_keys(df: DataFrame, ts: str = "ts", filename: str = "filename", buc
 def write_artifacts(df: DataFrame, root: str, fmt: str = "parquet", ts: str = "ts", mode: str = "append") -> None:
     """Write rows partitioned by ISO year and week (weeks of two years never meet).
 
-    Rows are spread by week and a hash of the whole row, so that a busy week is
-    written by many tasks and a quiet one makes few files.
+    Rows are rebalanced by week: AQE splits a busy week over many tasks and
+    files and packs quiet weeks together.
     """
-    keyed = with_week(df, ts)
-    spread = keyed.repartition(F.col("iso_year"), F.col("iso_week"), F.pmod(F.xxhash64("filename"), F.lit(64)))
+    spread = with_week(df, ts).hint("rebalance", "iso_year", "iso_week")
     if fmt == "text":
         spread = spread.select("iso_year", "iso_week", F.col("content").alias("value"))
     spread.write.mode(mode).partitionBy("iso_year", "iso_week").format(fmt).save(root)

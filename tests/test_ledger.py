@@ -13,7 +13,7 @@ LEDGER = "url string, task_id long, processed_at timestamp_ntz, success boolean"
 START = datetime(2024, 1, 1)
 
 
-def random_rows(seed, tasks=120, urls=12, hot=0.4):
+def random_rows(seed, tasks=120, urls=12, hot=0.4, chance=0.15):
     rng = random.Random(seed)
     names = [(f"https://p{i}", None) for i in range(urls)]
     names += [(f"https://v{i}/{form}", f"id{i}") for i in range(4) for form in "abc"]
@@ -23,7 +23,7 @@ def random_rows(seed, tasks=120, urls=12, hot=0.4):
         if rng.random() < hot:  # one video in a large share of all tasks
             picked = [n for n in picked if n[1] != "id0"] + [(f"https://v0/{f}", "id0") for f in rng.sample("abc", rng.randint(1, 3))]
         made = START + timedelta(minutes=rng.randint(0, 40))
-        rows += [(made, task, pos, u, v, rng.random() < 0.15) for pos, (u, v) in enumerate(picked)]
+        rows += [(made, task, pos, u, v, rng.random() < chance) for pos, (u, v) in enumerate(picked)]
     return rows
 
 
@@ -49,9 +49,9 @@ def sequential(rows, done):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_gate_with_aliases_equals_the_sequential_loop(spark, seed):
-    rows = random_rows(seed)
+@pytest.mark.parametrize("seed, chance", [(1, 0.15), (2, 0.5), (3, 0.9), (4, 0.03)])
+def test_gate_with_aliases_equals_the_sequential_loop(spark, seed, chance):
+    rows = random_rows(seed, chance=chance)
     done = ["https://p0", "https://v1/a"]
     base = spark.createDataFrame([(u, 0, START, True) for u in done] + [("https://p1", 0, START, False)], LEDGER)
     got = aliases.gate_with_aliases(spark.createDataFrame(rows, ROW), base).collect()
@@ -59,6 +59,17 @@ def test_gate_with_aliases_equals_the_sequential_loop(spark, seed):
     assert len(got) == len(rows)
 
 
+def test_gate_resolves_a_chain_of_dependences(spark):
+    """Each task's second URL can only be tried because of the task before it."""
+    rows = []
+    for i in range(6):
+        rows += [(START + timedelta(minutes=i), i, 0, f"u{i}", "v", False), (START + timedelta(minutes=i), i, 1, f"u{i + 1}", "v", True)]
+    rows[0] = rows[0][:5] + (True,)
+    rows.append((START + timedelta(minutes=9), 9, 0, "u3", "v", True))
+    got = aliases.gate_with_aliases(spark.createDataFrame(rows, ROW), spark.createDataFrame([], LEDGER)).collect()
+    assert {(r.task_id, r.pos): r.action for r in got} == sequential(rows, [])
+
+
 def test_plain_gate_equals_the_loop_when_urls_do_not_share_videos(spark):
     rows = [r for r in random_rows(5) if r[4] is None]
     base = spark.createDataFrame([("https://p0", 0, START, True)], LEDGER)
