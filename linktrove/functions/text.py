@@ -102,6 +102,7 @@ def from_utc(ts: Column) -> Column:
 
 
 def utc_display(ts: Column) -> Column:
+    """Display of a zone-free timestamp that holds UTC."""
     return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
 
 

@@ -109,6 +109,31 @@ def tweet_block(handle: Column, name: Column, tweet: Column, posted: Column, tex
     )
 
 
+def tweet_report(handle: Column, name: Column, tweet: Column, posted: Column, text: Column, urls: Column) -> Column:
+    """Stand-alone report of one post."""
+    rule = F.lit("-" * 80)
+    listed = F.transform(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.concat(F.lit("  - "), u))
+    return F.array_join(
+        F.concat(
+            F.array(
+                F.lit("TWEET DOWNLOAD REPORT"),
+                F.lit("=" * 56),
+                F.concat(F.lit("User: @"), F.coalesce(handle, F.lit("")), F.lit(" ("), F.coalesce(name, F.lit("")), F.lit(")")),
+                F.concat(F.lit("Tweet ID: "), tweet),
+                F.concat(F.lit("Posted on: "), F.coalesce(posted, F.lit("Unknown"))),
+                rule,
+                F.lit("CONTENT: "),
+                F.coalesce(text, F.lit("")),
+                rule,
+            ),
+            F.when(F.size(listed) > 0, F.concat(F.array(F.lit("URLs in tweet:")), listed, F.array(rule))).otherwise(
+                F.array().cast("array<string>")
+            ),
+        ),
+        "\n",
+    )
+
+
 def artifact_note(n_files: Column, type_lines: Column, s3_urls: Column, saved: bool, uploaded: bool) -> Column:
     """Lines that tell what was stored for a post."""
     verb = "Downloaded and uploaded to S3" if saved and uploaded else "Downloaded" if saved else "Uploaded to S3"
@@ -153,7 +178,7 @@ def assemble_tweet(
 
     none = F.array().cast("array<string>")
     first = F.coalesce(F.col("part"), F.lit(0)) == 0
-    posted = T.utc_display(F.timestamp_seconds("timestamp"))
+    posted = T.utc_display(T.from_utc(F.timestamp_seconds("timestamp")))
     block = tweet_block(F.col("user_handle"), F.col("user_name"), F.col("tweet_id"), posted, F.col("text"), F.col("urls"))
     n_found = F.coalesce("n_media", F.lit(0))
     found = F.when(n_found > 0, F.concat(F.lit("\n\nMedia: "), n_found.cast("string"), F.lit(" items detected"))).otherwise("")

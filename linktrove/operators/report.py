@@ -61,6 +61,16 @@ def attempt_section(a: dict[str, Column]) -> Column:
     )
 
 
+def saved_note(content: Column, markdown_path: Column, pdf_path: Column) -> Column:
+    """Content with a closing line about where its copy was saved."""
+    note = F.coalesce(
+        F.concat(F.lit("\n\n[Markdown version saved to: "), markdown_path, F.lit("]")),
+        F.concat(F.lit("\n\n[PDF file saved to: "), pdf_path, F.lit("]")),
+        F.lit(""),
+    )
+    return F.concat(content, note)
+
+
 def task_header(content: Column, description: Column, labels: Column) -> Column:
     none = F.array().cast("array<string>")
     description = F.coalesce(description, F.lit(""))

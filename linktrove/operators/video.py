@@ -74,6 +74,15 @@ def channel_projection(raw: DataFrame, json_col: str = "raw") -> DataFrame:
     ), schemas.CHANNELS)
 
 
+def language_projection(raw: DataFrame, json_col: str = "raw") -> DataFrame:
+    """Transcript list item JSON with ``video_id`` -> ``transcript_languages``."""
+    rows = raw.select("video_id", F.from_json(json_col, schemas.LANGUAGE_ITEM_DDL).alias("v"))
+    return _typed(rows.select(
+        "video_id", "v.language_code", F.col("v.language").alias("language_name"),
+        F.coalesce("v.is_generated", F.lit(False)).alias("is_auto_generated"),
+    ), schemas.TRANSCRIPT_LANGUAGES)
+
+
 def playlist_items(raw: DataFrame, json_col: str = "raw") -> DataFrame:
     """Video items of a playlist; positions count from 1."""
     rows = raw.select("playlist_id", F.from_json(json_col, schemas.PLAYLIST_ITEM_DDL).alias("v"))
@@ -155,16 +164,8 @@ def _line(label: str, value: Column) -> Column:
     return F.concat(F.lit(f"{label}: "), value, F.lit("  "))
 
 
-def assemble_video(
-    videos: DataFrame, channels: DataFrame, comments: DataFrame, segments: DataFrame,
-    summaries: DataFrame | None = None,
-) -> DataFrame:
-    """Video with channel, top comments and transcript as one attempt row.
-
-    Every side is reduced to one row per key before its left join; a missing
-    side leaves its lines out.  Only the transcript's length is needed here, so
-    no transcript text is collected.
-    """
+def _with_channel_and_comments(videos: DataFrame, channels: DataFrame, comments: DataFrame) -> DataFrame:
+    """Videos with one row of channel columns and a list of at most five comments."""
     top = (
         top_comments(comments)
         .groupBy("video_id")
@@ -176,8 +177,52 @@ def assemble_video(
         *[F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias("ch_" + c)
           for c in ("subscriber_count", "view_count", "video_count")],
     )
-    length = transcript_length(segments)
-    joined = videos.join(ch, "channel_id", "left").join(top, "video_id", "left").join(length, "video_id", "left")
+    return videos.join(ch, "channel_id", "left").join(top, "video_id", "left")
+
+
+def _comment_lines() -> Column:
+    return F.transform("top_comments", lambda c: F.concat(
+        c["number"].cast("string"), F.lit(". "), F.coalesce(c["author"], F.lit("Anonymous")), F.lit(": "), c["text"]
+    ))
+
+
+def video_details(videos: DataFrame, channels: DataFrame, comments: DataFrame) -> DataFrame:
+    """The plain layout of a video without transcript: details, comments, channel."""
+    joined = _with_channel_and_comments(videos, channels, comments)
+    none = F.array().cast("array<string>")
+    rule = F.lit("-" * 80)
+
+    def line(label: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{label}: "), value)
+
+    head = F.array(
+        F.lit("Video Details:"),
+        line("Title", _or_na("title")), line("Channel", _or_na("channel_title")), line("Views", _or_na("view_count")),
+        line("Likes", _or_na("like_count")), line("Duration", _or_na("duration")),
+        line("Has captions", F.when(F.coalesce("caption", F.lit(False)), "True").otherwise("False")),
+        rule,
+    )
+    talk = F.when(F.size(F.coalesce("top_comments", F.array())) > 0, F.concat(
+        F.array(F.lit("Top 5 Comments:")), _comment_lines(), F.array(rule)
+    )).otherwise(none)
+    channel = F.when(F.col("_channel"), F.array(
+        F.lit("Channel Details:"), line("Name", F.col("ch_title")), line("Subscribers", F.col("ch_subscriber_count")),
+        line("Total Views", F.col("ch_view_count")), line("Total Videos", F.col("ch_video_count")),
+    )).otherwise(none)
+    return joined.select("video_id", F.array_join(F.concat(head, talk, channel), "\n").alias("content"))
+
+
+def assemble_video(
+    videos: DataFrame, channels: DataFrame, comments: DataFrame, segments: DataFrame,
+    summaries: DataFrame | None = None,
+) -> DataFrame:
+    """Video with channel, top comments and transcript as one attempt row.
+
+    Every side is reduced to one row per key before its left join; a missing
+    side leaves its lines out.  Only the transcript's length is needed here, so
+    no transcript text is collected.
+    """
+    joined = _with_channel_and_comments(videos, channels, comments).join(transcript_length(segments), "video_id", "left")
     if summaries is not None:
         joined = joined.join(summaries.select("video_id", F.col("summary").alias("_summary")), "video_id", "left")
     else:
@@ -212,9 +257,7 @@ def assemble_video(
     )).otherwise(F.array(F.lit("Transcript: Not available")))
     talk = F.when(F.size(F.coalesce("top_comments", F.array())) > 0, F.concat(
         F.array(F.lit("Top 5 Comments:")),
-        F.transform("top_comments", lambda c: F.concat(
-            c["number"].cast("string"), F.lit(". "), F.coalesce(c["author"], F.lit("Anonymous")), F.lit(": "), c["text"]
-        )),
+        _comment_lines(),
         F.array(F.lit("--")),
     )).otherwise(none)
     return joined.select(

@@ -505,6 +505,14 @@ ORACLES["video_projection"] = """SELECT CAST(p_partkey AS VARCHAR) AS video_id,
   || 'Description Snippet: ' AS block FROM part"""
 ORACLES["playlist_items"] = """SELECT p_brand AS playlist_id, CASE WHEN p_size % 9 <> 0 THEN p_name ELSE 'N/A' END AS title,
   CAST(p_partkey AS VARCHAR) AS video_id, p_size + 1 AS position FROM part WHERE p_partkey % 5 <> 0"""
+ORACLES["comment_projection"] = """SELECT CAST(user_id AS VARCHAR) AS video_id, CAST(event_id AS INT) AS position,
+  CASE WHEN event_id % 3 <> 0 THEN 'user ' || user_id END AS author, event_type AS text,
+  CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END AS like_count, 'c' || user_id AS author_channel_id FROM events"""
+ORACLES["channel_projection"] = """SELECT CAST(c_custkey AS VARCHAR) AS channel_id, c_name AS title, '' AS description,
+  CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END AS country, c_custkey AS subscriber_count, CAST(NULL AS BIGINT) AS view_count,
+  c_mktsegment AS keywords FROM customer"""
+ORACLES["language_projection"] = """SELECT source AS video_id, lang AS language_code, upper(lang) AS language_name,
+  CAST(n_chars % 3 = 1 AS INT) AS auto, count(*) AS n FROM documents GROUP BY ALL"""
 ORACLES["preview_n"] = """SELECT * FROM (SELECT p_brand AS playlist_id, p_name AS title, p_partkey AS position,
   CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS number FROM part) WHERE number <= 50"""
 ORACLES["playlist_block"] = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part),
@@ -551,6 +559,19 @@ SELECT CAST(o_orderkey AS VARCHAR) AS video_id, 'Views: ' || CASE WHEN o_orderst
   coalesce(script.n, 0) AS transcript_chars, CAST(coalesce(top.n, 0) AS INT) AS n_comments
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN top ON o_orderkey = top.l_orderkey LEFT JOIN script ON o_orderkey = user_id"""
 
+ORACLES["video_details"] = """WITH r AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus) AS rn
+  FROM lineitem),
+top AS (
+  SELECT l_orderkey, string_agg(rn || '. ' || CASE WHEN l_returnflag <> 'R' THEN 'supplier ' || l_suppkey ELSE 'Anonymous' END || ': ' || l_linestatus,
+    chr(10) ORDER BY rn) AS lines FROM r WHERE rn <= 5 GROUP BY ALL)
+SELECT CAST(o_orderkey AS VARCHAR) AS video_id, concat_ws(chr(10), 'Video Details:', 'Title: ' || o_orderpriority, 'Channel: N/A', 'Views: ' || o_custkey,
+  'Likes: N/A', 'Duration: ' || o_orderstatus, 'Has captions: ' || CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'False' END, repeat('-', 80),
+  'Top 5 Comments:' || chr(10) || lines || chr(10) || repeat('-', 80),
+  CASE WHEN c_custkey IS NOT NULL THEN 'Channel Details:' || chr(10) || 'Name: ' || c_name || chr(10) || 'Subscribers: ' || c_custkey || chr(10)
+    || 'Total Views: N/A' || chr(10) || 'Total Videos: ' || c_nationkey END) AS content
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN top ON o_orderkey = l_orderkey"""
+
 # --- artifacts ---------------------------------------------------------------------------------------------
 ORACLES["artifact_names"] = r"""WITH p AS (
   SELECT *, 'h' || p_size || '.example.com' AS h, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g')) AS b FROM part)
@@ -563,6 +584,31 @@ SELECT p_partkey,
   '1714979289_tweet_' || b || '_' || p_partkey || '_asset_' || (p_size + 1) || '.jpg' AS media,
   upper(p_type[1]) || lower(p_type[2:]) || '_' || lower(p_name) AS word,
   regexp_replace(p_name || p_type || p_brand || p_size, '[^0-9]', '', 'g') AS digits FROM p"""
+ORACLES["repo_fields"] = """WITH p AS (
+  SELECT *, CASE WHEN p_size % 2 = 0 THEN p_type || ' & more' ELSE '' END AS about, p_size || 'k' AS s,
+    CASE WHEN p_size % 3 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE '0' END AS f FROM part)
+SELECT p_partkey AS page_id, p_name AS title, about AS description, s AS stars, f AS forks, '0' AS watching, p_brand AS languages,
+  'About ' || p_name AS readme, 'Unknown' AS commit_count,
+  md5('Title: ' || p_name || '  ' || chr(10) || '    ' || chr(10) || 'S  ' || chr(10) || chr(10) || 'Technologies: ' || p_brand || '  ' || chr(10)
+    || 'Forks: ' || f || '  ' || chr(10) || 'Stars: ' || s || '  ' || chr(10) || 'Commit Activity: Unknown commits, last commit on ') AS block_md5,
+  md5('Title: ' || p_name || '  Description: ' || about || chr(10) || chr(10) || 'Statistics:' || chr(10) || '- Stars: ' || s || chr(10)
+    || '- Forks: ' || f || chr(10) || '- Watchers: 0' || chr(10) || 'Last Commit:  ()' || chr(10) || 'Languages: ' || p_brand || chr(10) || chr(10)
+    || 'README Content:' || chr(10) || 'About ' || p_name) AS input_md5 FROM p"""
+ORACLES["media_lines"] = """WITH p AS (
+  SELECT *, 'https://h.example.com/' || p_partkey || CASE p_size % 4 WHEN 0 THEN '.mp4' WHEN 1 THEN '.JPG' WHEN 2 THEN '.mp3' ELSE '.bin' END AS url,
+    CASE p_size % 4 WHEN 0 THEN 'Video' WHEN 1 THEN 'Photo' WHEN 2 THEN 'Audio' ELSE 'Media' END AS word,
+    CASE WHEN p_size % 5 = 0 THEN '/data/' || p_partkey || '.md' END AS path FROM part)
+SELECT p_partkey, 'Top' || chr(10) || '- [' || word || '](' || url || ')' || chr(10) || CASE WHEN p_size % 3 = 0
+    THEN 'URLs in tweet:' || chr(10) || ' - [user' || p_partkey || '](https://x.com/user' || p_partkey || ')' || chr(10) || ' - https://e.example.com'
+    ELSE ' - /user' END AS text,
+  concat_ws(chr(10), CASE WHEN p_size % 4 = 0 THEN '- [Video: 1](' || url || ')' END, '- [Markdown](' || path || ')',
+    CASE p_size % 4 WHEN 1 THEN '- [Image](' || url || ')' WHEN 2 THEN '- [Audio](' || url || ')' WHEN 3 THEN '- [Media](' || url || ')' END) AS links,
+  p_name || coalesce(chr(10) || chr(10) || '[Markdown version saved to: ' || path || ']', '') AS note, word FROM p"""
+ORACLES["tweet_reports"] = """SELECT o_orderkey, concat_ws(chr(10), 'TWEET DOWNLOAD REPORT', repeat('=', 56), 'User: @u' || o_custkey || ' (' || o_orderstatus || ')',
+  'Tweet ID: ' || o_orderkey, 'Posted on: ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' UTC', repeat('-', 80), 'CONTENT: ', o_orderpriority, repeat('-', 80),
+  CASE WHEN o_orderkey % 2 = 0 THEN 'URLs in tweet:' || chr(10) || '  - https://e.example.com' || chr(10) || repeat('-', 80) END) AS block FROM orders"""
+ORACLES["time_columns"] = """SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS display,
+  strftime(ts, '%Y%m%d_%H%M%S') AS stamp, CASE WHEN event_id % 4 <> 0 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS parsed FROM events"""
 ORACLES["reference_records"] = """SELECT CAST(p_partkey AS VARCHAR) AS video_id, '1700000000_' || replace(p_name, ' ', '_') || '_reference.json' AS filename,
   CAST(p_partkey AS VARCHAR) AS youtube_video_id, p_name AS title, 'https://www.youtube.com/watch?v=' || p_partkey AS url,
   '1700000000' AS processed_at, 'youtube_video' AS reference_type, 'https://www.youtube.com/embed/' || p_partkey AS direct_embed_url FROM part"""

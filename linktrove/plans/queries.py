@@ -525,6 +525,42 @@ def playlist_items(spark, sf):
     return video.playlist_items(raw)
 
 
+@query
+def comment_projection(spark, sf):
+    raw = D.table(spark, sf, "events").selectExpr(
+        "CAST(user_id AS STRING) AS video_id", "CAST(event_id AS INT) AS position",
+        "to_json(named_struct('snippet', named_struct('topLevelComment', named_struct('snippet', named_struct("
+        "'authorDisplayName', CASE WHEN event_id % 3 <> 0 THEN 'user ' || user_id END, 'textDisplay', event_type, "
+        "'likeCount', CASE WHEN event_id % 2 = 0 THEN event_id END, 'authorChannelId', named_struct('value', 'c' || user_id)))))) AS raw",
+    )
+    return video.comment_projection(raw).select("video_id", "position", "author", "text", "like_count", "author_channel_id")
+
+
+@query
+def channel_projection(spark, sf):
+    raw = D.table(spark, sf, "customer").selectExpr(
+        "CAST(c_custkey AS STRING) AS channel_id",
+        "to_json(named_struct('snippet', named_struct('title', c_name, 'country', CASE WHEN c_nationkey % 2 = 0 THEN c_mktsegment END), "
+        "'statistics', named_struct('subscriberCount', CAST(c_custkey AS STRING), 'viewCount', 'N/A'), "
+        "'brandingSettings', named_struct('channel', named_struct('keywords', c_mktsegment)))) AS raw",
+    )
+    return video.channel_projection(raw).select(
+        "channel_id", "title", "description", "country", "subscriber_count", "view_count", "keywords"
+    )
+
+
+@query
+def language_projection(spark, sf):
+    raw = D.table(spark, sf, "documents").selectExpr(
+        "source AS video_id",
+        "to_json(named_struct('language_code', lang, 'language', upper(lang), 'is_generated', CASE WHEN n_chars % 3 > 0 THEN n_chars % 3 = 1 END)) AS raw",
+    )
+    rows = video.language_projection(raw)
+    return rows.groupBy("video_id", "language_code", "language_name", F.col("is_auto_generated").cast("int").alias("auto")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 @query
 def preview_n(spark, sf):
     items = D.table(spark, sf, "part").selectExpr("p_brand AS playlist_id", "p_name AS title", "p_partkey AS position")
@@ -611,6 +647,24 @@ def assemble_video(spark, sf):
     )
 
 
+@query
+def video_details(spark, sf):
+    videos = D.table(spark, sf, "orders").selectExpr(
+        "CAST(o_orderkey AS STRING) AS video_id", "CAST(o_custkey AS STRING) AS channel_id", "o_orderpriority AS title",
+        "CAST(NULL AS STRING) AS channel_title", "o_custkey AS view_count", "CAST(NULL AS BIGINT) AS like_count",
+        "o_orderstatus AS duration", "o_orderstatus = 'F' AS caption",
+    )
+    channels = D.table(spark, sf, "customer").selectExpr(
+        "CAST(c_custkey AS STRING) AS channel_id", "c_name AS title", "c_custkey AS subscriber_count",
+        "CAST(NULL AS BIGINT) AS view_count", "CAST(c_nationkey AS BIGINT) AS video_count",
+    )
+    comments = D.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("video_id"), F.struct(*FULL_LINE_ORDER).alias("position"),
+        F.expr("CASE WHEN l_returnflag <> 'R' THEN 'supplier ' || l_suppkey END").alias("author"), F.col("l_linestatus").alias("text"),
+    )
+    return video.video_details(videos, channels, comments)
+
+
 # --- artifacts and report ------------------------------------------------------------------------------------
 @query
 def artifact_names(spark, sf):
@@ -631,6 +685,66 @@ def artifact_names(spark, sf):
     )
 
 
+@query
+def repo_fields(spark, sf):
+    """Repository pages made from parts; every other page lacks some blocks."""
+    html = F.expr(
+        "'<strong itemprop=\"name\"><a href=\"/o/r\">' || p_name || '</a></strong>' "
+        "|| CASE WHEN p_size % 2 = 0 THEN '<p class=\"f4 mb-3\"> ' || p_type || ' &amp; more </p>' ELSE '' END "
+        "|| '<a href=\"/o/r/stargazers\"><span class=\"text-bold\">' || p_size || 'k</span> stars</a>' "
+        "|| CASE WHEN p_size % 3 = 0 THEN '<a href=\"/o/r/forks\"><b class=\"text-bold\">' || p_partkey || '</b></a>' ELSE '' END "
+        "|| '<li class=\"d-inline\"><a class=\"d-inline-flex flex-items-center\"><span class=\"text-bold\">' || p_brand || '</span></a></li>' "
+        "|| '<article class=\"markdown-body\"><p>About ' || p_name || '</p></article>'"
+    )
+    rows = D.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("page_id"), F.expr("'https://github.com/o/r' || p_partkey").alias("url"), html.alias("html")
+    )
+    found = pages.repo_fields(rows)
+    return found.select(
+        "page_id", "title", "description", "stars", "forks", "watching", F.array_join("languages", ",").alias("languages"),
+        "readme", "commit_count", F.md5(video.repo_block(F.lit("S"))).alias("block_md5"), F.md5(video.repo_summary_input()).alias("input_md5"),
+    )
+
+
+@query
+def media_lines(spark, sf):
+    """Bare artifact lines and name links of a text turned into markdown links; artifact links; saved notes."""
+    part = D.table(spark, sf, "part")
+    ext = "CASE p_size % 4 WHEN 0 THEN '.mp4' WHEN 1 THEN '.JPG' WHEN 2 THEN '.mp3' ELSE '.bin' END"
+    url = f"'https://h.example.com/' || p_partkey || {ext}"
+    text = F.expr(
+        f"'Top\n- ' || {url} || '\n' || CASE WHEN p_size % 3 = 0 THEN 'URLs in tweet:\n - /user' || p_partkey || '\n - https://e.example.com' ELSE ' - /user' END"
+    )
+    path = F.expr("CASE WHEN p_size % 5 = 0 THEN '/data/' || p_partkey || '.md' END")
+    return part.select(
+        "p_partkey", T.label_bare_links(text).alias("text"),
+        F.array_join(report.media_links(F.expr(url), F.lit(None).cast("string"), path), "\n").alias("links"),
+        report.saved_note(F.col("p_name"), path, F.lit(None).cast("string")).alias("note"), T.link_kind(F.expr(url)).alias("word"),
+    )
+
+
+@query
+def tweet_reports(spark, sf):
+    posted = T.utc_display(F.col("o_orderdate"))
+    orders = D.table(spark, sf, "orders")
+    urls = F.expr("CASE WHEN o_orderkey % 2 = 0 THEN array('https://e.example.com') END")
+    block = media.tweet_report(
+        F.expr("'u' || o_custkey"), F.col("o_orderstatus"), F.col("o_orderkey").cast("string"), posted, F.col("o_orderpriority"), urls
+    )
+    return orders.select("o_orderkey", block.alias("block"))
+
+
+@query
+def time_columns(spark, sf):
+    rows = D.table(spark, sf, "events").select("event_id", "ts")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    parsed = F.when(F.col("event_id") % 4 == 0, F.lit("yesterday")).otherwise(text)
+    return rows.select(
+        "event_id", T.epoch_seconds(F.col("ts")).alias("epoch"), T.utc_display(F.col("ts")).alias("display"),
+        T.run_stamp(F.col("ts")).alias("stamp"), F.unix_timestamp(T.iso_timestamp(parsed)).alias("parsed"),
+    )
+
+
 def _videos(spark, sf):
     return D.table(spark, sf, "conversations").where("turn = 0").selectExpr(
         "CAST(conv_id AS STRING) AS video_id", "'Talk ' || conv_id || ': part, one' AS title",

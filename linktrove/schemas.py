@@ -117,6 +117,7 @@ CHANNEL_ITEM_DDL = (
     "statistics: STRUCT<viewCount: STRING, subscriberCount: STRING, videoCount: STRING>, "
     "brandingSettings: STRUCT<channel: STRUCT<bannerImageUrl: STRING, keywords: STRING>>>"
 )
+LANGUAGE_ITEM_DDL = "STRUCT<language_code: STRING, language: STRING, is_generated: BOOLEAN>"
 PLAYLIST_ITEM_DDL = (
     "STRUCT<snippet: STRUCT<title: STRING, position: INT, "
     "resourceId: STRUCT<kind: STRING, videoId: STRING>>>"

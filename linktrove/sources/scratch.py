@@ -23,9 +23,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/linktrove/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once as Parquet and read back: columnar, and safe when executors are lost."""
-    spark = df.sparkSession
+def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+    """Write once as Parquet and read back: columnar, and safe when executors are lost.
+
+    ``spark``: session to read with, when it is not the session of ``df``.
+    """
+    spark = spark or df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

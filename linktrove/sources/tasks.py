@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linktrove import schemas
-from linktrove.functions.text import iso_timestamp
+from linktrove.functions.text import from_utc, iso_timestamp
 
 
 def flatten_pages(raw: DataFrame, json_col: str = "raw", page_col: str = "page_no", item_ddl: str = schemas.RAW_TASK_DDL) -> DataFrame:
@@ -44,7 +44,7 @@ def read_task_pages(raw: DataFrame, json_col: str = "raw", page_col: str = "page
         F.col("item.content").alias("content"),
         F.col("item.description").alias("description"),
         F.coalesce("item.labels", F.array().cast("array<string>")).alias("labels"),
-        iso_timestamp(F.col("item.created_at")).cast("timestamp_ntz").alias("created_at"),
+        from_utc(iso_timestamp(F.col("item.created_at"))).alias("created_at"),
         position.alias("input_pos"),
     )
 

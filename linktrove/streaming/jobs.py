@@ -15,6 +15,7 @@ from linktrove.operators import outcomes as O
 from linktrove.operators import tasks as K
 from linktrove.plans.capture_run import gated_rows
 from linktrove.sources import ledger as store
+from linktrove.sources.scratch import materialize
 
 
 def stream_capture(
@@ -31,7 +32,8 @@ def stream_capture(
     def run(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
         ledger = store.read_ledger(spark, ledger_root, before=version)
-        rows = gated_rows(K.notebook_gate(batch), ledger, attempts)
+        # The rest of the batch runs in the outer session, where AQE may split hot keys.
+        rows = gated_rows(K.notebook_gate(materialize(batch, "tasks", spark)), ledger, attempts)
         changes = rows.where(F.col("action") == "try").withColumn("processed_at", F.col("created_at"))
         store.write_changes(L.latest_updates(changes, L.ORDER), ledger_root, version)
 
