@@ -20,6 +20,21 @@ TIMEOUT_EMPTY_CONTENT = "[Error: Page load timed out, and search fallback yielde
 TIMEOUT_DISABLED_CONTENT = "[Error: Page load timed out, search fallback disabled]"
 UNKNOWN_FAILURE_CONTENT = "[Error: Unknown processing failure - no content extracted]"
 
+NOTE_NO_MEDIA = "[Note: No media files found to process]"
+NOTE_NOTHING_STORED = "[Note: Media download/upload was attempted but no files were successfully processed]"
+NO_TWEET_TEXT = "[No text content found]"
+NO_ATTEMPT_CONTENT = "[No content extracted]"
+NO_TRANSCRIPT = "Transcript: Not available"
+NO_PLAYLIST_VIDEOS = "No videos found in playlist"
+RETRIES_EXCEEDED = "Maximum retries exceeded"
+
+PROMPT_HEADERS = {
+    "webpage": "\nWEBPAGE CONTENT:\n",
+    "pdf": "\nPDF CONTENT:\n",
+    "github": "\nGITHUB REPO CONTENT:\n",
+    "youtube": "\nTRANSCRIPTION CONTENT: \n",
+}
+
 METHOD_PAGE = "pandoc_llm"
 METHOD_SEARCH = "google_search"
 METHOD_UNKNOWN = "unknown"

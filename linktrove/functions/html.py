@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linktrove import fixed_values as V
 from linktrove.functions.text import squeeze_text
-from linktrove.functions.urls import strip
+from linktrove.functions.urls import computed_once, strip
 
 Rule = tuple[str, str]
 
@@ -76,9 +76,11 @@ def decode_entities(text: Column) -> Column:
             ),
         )
 
-    text = F.when(text.contains("&#"), numeric(text)).otherwise(text)
-    return reduce(
-        lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), V.HTML_ENTITIES.items(), text
+    def named(t: Column) -> Column:
+        return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), V.HTML_ENTITIES.items(), t)
+
+    return computed_once(
+        text, lambda t: F.when(~t.contains("&"), t).when(t.contains("&#"), named(numeric(t))).otherwise(named(t))
     )
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linktrove import fixed_values as V
-from linktrove.functions.urls import strip, url_path
+from linktrove.functions.urls import computed_once, strip, url_path
 
 
 def truncate(text: Column, keep: int, limit: int | None = None) -> Column:
@@ -199,7 +199,11 @@ def label_bare_links(text: Column) -> Column:
     text = F.regexp_replace(text, r"(?m)^- (https://[^\s]+)", "- [Media]($1)")
     # "/name" links stand only in the link list that ends a tweet block.
     marker = "URLs in tweet:\n"
-    start = F.instr(text, marker) + F.lit(len(marker) - 1)
     names = r"(?U)(?m)^\s*- /(\w+)$"
-    tail = F.regexp_replace(F.substr(text, start + 1), names, " - [$1](https://x.com/$1)")
-    return F.when(text.contains(marker), F.concat(F.left(text, start), tail)).otherwise(text)
+
+    def link_names(t: Column) -> Column:
+        start = F.instr(t, marker) + F.lit(len(marker) - 1)
+        tail = F.regexp_replace(F.substr(t, start + 1), names, " - [$1](https://x.com/$1)")
+        return F.when(t.contains(marker), F.concat(F.left(t, start), tail)).otherwise(t)
+
+    return computed_once(text, link_names)

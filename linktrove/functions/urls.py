@@ -6,6 +6,7 @@ shuffle; each ``transform`` step names an intermediate value once, which keeps
 the expression linear in size.
 """
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ from linktrove import fixed_values as V
 _EMPTY_STRINGS = "array<string>"
 
 
+def computed_once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value it uses several times; a one-element transform names the value."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Unicode-aware strip (``trim`` only knows the space character)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -43,12 +49,9 @@ def query_pairs(query: Column) -> Column:
 
 
 def _rebuild_query(query: Column) -> Column:
-    kept = F.transform(
-        F.array(query_pairs(query)),
-        lambda pairs: F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(V.TRACKER_PARAMS)),
-    )
+    kept = F.filter(query_pairs(query), lambda p: ~F.lower(p["k"]).isin(V.TRACKER_PARAMS))
     # Repeated keys are grouped at the place of their first occurrence.
-    grouped = F.transform(
+    grouped = computed_once(
         kept,
         lambda pairs: F.flatten(
             F.transform(
@@ -58,7 +61,7 @@ def _rebuild_query(query: Column) -> Column:
         ),
     )
     return F.array_join(
-        F.transform(grouped[0], lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&"
+        F.transform(grouped, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&"
     )
 
 

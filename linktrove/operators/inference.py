@@ -17,12 +17,6 @@ TEMPLATES = {
     "github": "Summarise what the code repository below does and who it is for.",
     "youtube": "Summarise the transcript below in about 500 words.",
 }
-HEADERS = {
-    "webpage": "\nWEBPAGE CONTENT:\n",
-    "pdf": "\nPDF CONTENT:\n",
-    "github": "\nGITHUB REPO CONTENT:\n",
-    "youtube": "\nTRANSCRIPTION CONTENT: \n",
-}
 
 
 def build_prompt(texts: DataFrame, templates: dict[str, str] | None = None, kind: str = "kind", text: str = "text") -> DataFrame:
@@ -33,7 +27,7 @@ def build_prompt(texts: DataFrame, templates: dict[str, str] | None = None, kind
     ).otherwise(page_prompt_text(F.col(text)))
     head = F.lit(None).cast("string")
     for name, template in templates.items():
-        head = F.when(F.col(kind) == name, F.concat(strip(F.lit(template)), F.lit(HEADERS[name]))).otherwise(head)
+        head = F.when(F.col(kind) == name, F.concat(strip(F.lit(template)), F.lit(V.PROMPT_HEADERS[name]))).otherwise(head)
     return texts.withColumn("prompt", F.concat(head, body))
 
 

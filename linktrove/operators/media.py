@@ -99,7 +99,7 @@ def tweet_block(handle: Column, name: Column, tweet: Column, posted: Column, tex
                 F.coalesce(F.concat(F.lit("Posted on: "), posted, F.lit("  ")), F.lit("Posted on: Unknown")),
                 F.lit(""),
                 F.lit("---"),
-                F.coalesce(text, F.lit("[No text content found]")),
+                F.coalesce(text, F.lit(V.NO_TWEET_TEXT)),
             ),
             F.when(F.size(listed) > 0, F.concat(F.array(F.lit("URLs in tweet:")), listed)).otherwise(
                 F.array().cast("array<string>")
@@ -185,8 +185,8 @@ def assemble_tweet(
     if saved or uploaded:
         note = F.concat(
             F.lit("\n\n"),
-            F.when(n_found == 0, "[Note: No media files found to process]")
-            .when(F.col("n_files").isNull(), "[Note: Media download/upload was attempted but no files were successfully processed]")
+            F.when(n_found == 0, V.NOTE_NO_MEDIA)
+            .when(F.col("n_files").isNull(), V.NOTE_NOTHING_STORED)
             .otherwise(artifact_note(F.col("n_files"), F.col("type_lines"), F.coalesce("s3_urls", none), saved, uploaded)),
         )
     else:

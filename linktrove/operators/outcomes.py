@@ -147,7 +147,7 @@ def retry_table(log: DataFrame, keys: list[str], max_attempts: int = V.TRANSCRIP
         *keys,
         "attempts",
         "success",
-        F.when(~F.col("success"), F.coalesce("last.error", F.lit("Maximum retries exceeded"))).alias("error"),
+        F.when(~F.col("success"), F.coalesce("last.error", F.lit(V.RETRIES_EXCEEDED))).alias("error"),
         F.when(F.col("success"), F.lit(None))
         .when(final, "language_unavailable").otherwise("other_error").alias("reason"),
         (~F.col("success") & ~F.coalesce(final, F.lit(False)) & (F.col("attempts") < max_attempts)).alias("retry"),

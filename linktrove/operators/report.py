@@ -3,8 +3,9 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linktrove import fixed_values as V
 from linktrove.functions import text as T
-from linktrove.operators.grouping import PART_ROWS, ordered_parts, stable_numbering  # noqa: F401
+from linktrove.operators.grouping import PART_ROWS, ordered_parts
 from linktrove.operators.outcomes import extract_failed, fails_task
 
 
@@ -42,7 +43,7 @@ def media_links(s3_url: Column, video_path: Column, markdown_path: Column) -> Co
 
 def attempt_section(a: dict[str, Column]) -> Column:
     """Markdown of one attempt."""
-    content = T.label_bare_links(F.coalesce(a["content"], F.lit("[No content extracted]")))
+    content = T.label_bare_links(F.coalesce(a["content"], F.lit(V.NO_ATTEMPT_CONTENT)))
     none = F.array().cast("array<string>")
     method = F.coalesce(a["extraction_method"], F.lit(""))
     links = media_links(a["s3_url"], a["downloaded_video_path"], a["downloaded_markdown_path"])

@@ -254,7 +254,7 @@ def assemble_video(
             F.lit("  "),
         ),
         summary,
-    )).otherwise(F.array(F.lit("Transcript: Not available")))
+    )).otherwise(F.array(F.lit(V.NO_TRANSCRIPT)))
     talk = F.when(F.size(F.coalesce("top_comments", F.array())) > 0, F.concat(
         F.array(F.lit("Top 5 Comments:")),
         _comment_lines(),
@@ -302,7 +302,7 @@ def playlist_block(playlists: DataFrame, items: DataFrame, n: int = V.PLAYLIST_P
             F.coalesce(F.concat(F.lit(link), F.nullif(v["video_id"], F.lit(""))), F.lit("N/A")), F.lit(")  ")
         )),
         F.array(F.lit("---")),
-    )).otherwise(F.array(F.lit("No videos found in playlist")))
+    )).otherwise(F.array(F.lit(V.NO_PLAYLIST_VIDEOS)))
     return joined.select(
         "playlist_id", F.lit("youtube_playlist").alias("type"),
         F.array_join(F.concat(head, about, listed), "\n").alias("content"),

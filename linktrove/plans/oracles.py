@@ -430,7 +430,7 @@ FROM texts WHERE page_id NOT IN (SELECT page_id FROM good)"""
 
 
 def prompt(kind: str, body: str) -> str:
-    return f"{q(inference.TEMPLATES[kind] + inference.HEADERS[kind])} || {body}"
+    return f"{q(inference.TEMPLATES[kind] + V.PROMPT_HEADERS[kind])} || {body}"
 
 
 PROMPT = f"""CASE doc_id % 4 WHEN 0 THEN {prompt("webpage", cut(14000, 14000))} WHEN 1 THEN {prompt("pdf", cut(14000, 14000))}
