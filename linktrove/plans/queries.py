@@ -13,7 +13,7 @@ from linktrove.plans import views as D
 from linktrove.plans.capture_run import CaptureRun
 from linktrove.sources import ledger as store
 from linktrove.sources import sinks, timeline
-from linktrove.sources.scratch import new_folder
+from linktrove.sources.scratch import materialize, new_folder
 from linktrove.sources.tasks import concat_all, flatten_pages
 from linktrove.streaming import jobs
 
@@ -93,9 +93,14 @@ def unseen_urls(spark, sf):
     return ledger.unseen_urls(D.task_urls(spark, sf), D.ledger(spark, sf)).select("task_id", "pos", "url")
 
 
+def _stored_rows(spark, sf):
+    """Attempt rows written once: the gates read them several times."""
+    return materialize(D.attempt_rows(spark, sf), "attempt_rows")
+
+
 @query
 def attempt_gate(spark, sf):
-    gated = ledger.attempt_gate(D.attempt_rows(spark, sf), D.ledger(spark, sf))
+    gated = ledger.attempt_gate(_stored_rows(spark, sf), D.ledger(spark, sf))
     return gated.select("task_id", "pos", "url", F.col("ledger_skip").cast("int").alias("ledger_skip"))
 
 
@@ -107,13 +112,13 @@ def video_dedup(spark, sf):
 
 @query
 def gate_rows(spark, sf):
-    rows = ledger.gate_rows(D.attempt_rows(spark, sf), D.ledger(spark, sf))
+    rows = ledger.gate_rows(_stored_rows(spark, sf), D.ledger(spark, sf))
     return rows.select("task_id", "pos", "url", "action")
 
 
 @query
 def gate_with_aliases(spark, sf):
-    rows = aliases.gate_with_aliases(D.attempt_rows(spark, sf), D.ledger(spark, sf))
+    rows = aliases.gate_with_aliases(_stored_rows(spark, sf), D.ledger(spark, sf))
     return rows.select("task_id", "pos", "url", "action")
 
 

@@ -13,7 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 PYTHON_BY_NATURE = {"summarize_with", "stream_url_state"}
 # These run jobs (stored tables, streams, rounds) while they are planned.
 RUNS_JOBS = {
-    "gate_with_aliases", "task_outcome", "run_summary", "task_report", "run_ledger_changes", "ledger_store",
+    "attempt_gate", "gate_rows", "gate_with_aliases", "task_outcome", "run_summary", "task_report", "run_ledger_changes", "ledger_store",
     "write_artifacts", "write_report", "page_attempts", "apply_rules", "apply_many_rules",
 }
 PLANNED = [n for n in QUERIES if n not in PYTHON_BY_NATURE | RUNS_JOBS and not n.startswith("stream_")]
