@@ -92,8 +92,9 @@ def repo_fields(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """All anchors with href, in page order."""
-    anchors = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(H.ANCHOR), F.lit(0))
+    """All anchors with href, in page order; not those inside comments, scripts or styles."""
+    shown = H.apply_rules(F.coalesce(F.col("html"), F.lit("")), H.HIDDEN_BLOCKS)
+    anchors = F.regexp_extract_all(shown, F.lit(H.ANCHOR), F.lit(0))
     rows = pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(anchors).alias("pos", "anchor"))
     href = H.decode_entities(H.attribute(F.col("anchor"), "href"))
     return (

@@ -7,14 +7,15 @@ from linktrove import fixed_values as V
 from linktrove.functions.urls import strip
 
 # A mark that is followed by more text ("example.org", "2.5") does not end a sentence.
-SENTENCE = r"[^.!?\n]+(?:[.!?]+[^\s.!?][^.!?\n]*)*[.!?]*"
+SENTENCE_END = r"(?<=[.!?])(?=\s)|\n"
 WORD = r"[\p{L}\p{N}]+"
 DAMPING = 5
 
 
 def sentences(text: Column) -> Column:
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
-    return F.filter(F.transform(found, strip), lambda s: s.rlike(WORD))
+    """Split, not matched piece by piece: a repeated group would recurse once per mark on long tokens."""
+    found = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
+    return F.filter(F.transform(found, lambda s: strip(F.regexp_replace(s, r"^[.!?]+", ""))), lambda s: s.rlike(WORD))
 
 
 def words(text: Column) -> Column:

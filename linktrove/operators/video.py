@@ -102,8 +102,8 @@ def top_comments(comments: DataFrame, k: int = V.TOP_COMMENTS, key: str = "video
 
 
 def preview_n(items: DataFrame, n: int = V.PLAYLIST_PREVIEW, key: str = "playlist_id", order: list[Column] | None = None) -> DataFrame:
-    """First items of a playlist, never more than 50."""
-    return first_per_key(items, [key], order or [F.col("position")], min(n, V.PLAYLIST_PREVIEW_MAX), rank="number")
+    """First ``n`` items of a playlist."""
+    return first_per_key(items, [key], order or [F.col("position")], n, rank="number")
 
 
 def languages_by_name(languages: DataFrame) -> DataFrame:
@@ -171,7 +171,9 @@ def _with_channel_and_comments(videos: DataFrame, channels: DataFrame, comments:
         .groupBy("video_id")
         .agg(F.sort_array(F.collect_list(F.struct("number", "author", "text"))).alias("top_comments"))
     )
-    ch = channels.select(
+    fields = ("title", "subscriber_count", "view_count", "video_count")
+    one_each = channels.groupBy("channel_id").agg(F.min(F.struct(*fields)).alias("c")).select("channel_id", "c.*")
+    ch = one_each.select(
         "channel_id", F.lit(True).alias("_channel"),
         F.coalesce("title", F.lit("N/A")).alias("ch_title"),
         *[F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias("ch_" + c)

@@ -38,7 +38,7 @@ class CaptureRun:
         max_tasks: int | None = None, no_close: bool = False, recorded_only: bool = False,
     ):
         self.run_at, self.no_close = run_at, no_close
-        self.scope = K.capture_scope(tasks, projects)
+        self.scope = K.capture_scope(tasks, projects, require=True)
         self.chosen = K.notebook_gate(K.oldest_tasks(self.scope, max_tasks))
         self.rows = gated_rows(self.chosen, ledger, attempts, recorded_only)
 

@@ -355,9 +355,12 @@ ORACLES["page_fields"] = rf"""SELECT page_id, {inner("regexp_extract(html, '(?is
   CAST(len(regexp_extract_all(html, '<a href=')) AS INT) AS n_links, CAST(len(regexp_extract_all(html, '(?i)<img\b')) AS INT) AS n_images,
   CAST(len(regexp_extract_all(html, '(?i)<p\b')) AS INT) AS n_paragraphs FROM pages"""
 
+SENTENCE = r"[^.!?\n]+(?:[.!?]+[^\s.!?][^.!?\n]*)*[.!?]*"
 ANCHORS = rf"""anchors AS (
   SELECT page_id, url AS page_url, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS pos
-  FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a\s*>') AS l FROM pages)),
+  FROM (SELECT page_id, url, regexp_extract_all(
+    regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', '', 'g'), '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>', '', 'g'),
+    '(?is)<a\b[^>]*>.*?</a\s*>') AS l FROM pages)),
 links AS (
   SELECT page_id, CAST(pos AS INT) AS pos, {entities("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS href, {inner("a")} AS text,
     regexp_extract(page_url, '^[a-z]+://[^/?#]*') AS origin FROM anchors)"""
@@ -387,7 +390,7 @@ def summaries(docs: str, key: str) -> str:
     """Same scoring as plain SQL: word weights, sentence scores, running word budget."""
     return rf"""sents AS (
   SELECT {key}, unnest(l) AS sentence, generate_subscripts(l, 1) AS pos FROM (
-    SELECT {key}, list_filter(list_transform(regexp_extract_all(text, {q(summary.SENTENCE)}), lambda s: {strip("s")}),
+    SELECT {key}, list_filter(list_transform(regexp_extract_all(text, {q(SENTENCE)}), lambda s: {strip("s")}),
       lambda s: regexp_matches(s, {q(summary.WORD)})) AS l FROM {docs})),
 doc_words AS (SELECT {key}, unnest(list_distinct(regexp_extract_all(lower(text), {q(summary.WORD)}))) AS word FROM {docs}),
 weights AS (
@@ -514,7 +517,7 @@ ORACLES["channel_projection"] = """SELECT CAST(c_custkey AS VARCHAR) AS channel_
 ORACLES["language_projection"] = """SELECT source AS video_id, lang AS language_code, upper(lang) AS language_name,
   CAST(n_chars % 3 = 1 AS INT) AS auto, count(*) AS n FROM documents GROUP BY ALL"""
 ORACLES["preview_n"] = """SELECT * FROM (SELECT p_brand AS playlist_id, p_name AS title, p_partkey AS position,
-  CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS number FROM part) WHERE number <= 50"""
+  CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS number FROM part) WHERE number <= 60"""
 ORACLES["playlist_block"] = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part),
 shown AS (
   SELECT p_brand, count(*) AS n, string_agg(p_partkey || '. [' || p_name || '](https://www.youtube.com/watch?v=' || p_partkey || ')  ', chr(10) ORDER BY rn) AS lines

@@ -2,7 +2,7 @@
 
 Layout under one root::
 
-    v=<N>/          changes of run or batch N, overwritten on replay
+    v=<N>/          changes of run or batch N, overwritten only by its own replay
     s=<N>/          snapshot: the merged ledger up to and including version N
 
 A small batch only writes its own folder.  A read takes the newest finished
@@ -33,9 +33,24 @@ def next_version(spark: SparkSession, root: str) -> int:
     return max(_numbers(spark, root, "v=") + _numbers(spark, root, "s="), default=-1) + 1
 
 
-def write_changes(df: DataFrame, root: str, version: int) -> None:
-    """Changes of one run; at most one row per url. Writing a version again replaces it."""
-    df.select(*_COLUMNS).write.mode("overwrite").parquet(f"{root}/v={version}")
+def write_changes(df: DataFrame, root: str, version: int, replay: bool = False) -> None:
+    """Changes of one run; at most one row per url.
+
+    A version that exists is an error, so two runs cannot take one number; only a
+    caller that owns the number may ``replay`` it.
+    """
+    df.select(*_COLUMNS).write.mode("overwrite" if replay else "errorifexists").parquet(f"{root}/v={version}")
+
+
+def base_version(spark: SparkSession, root: str, checkpoint: str) -> int:
+    """First version of a stream: behind all that the ledger held when its checkpoint began."""
+    path = f"{checkpoint.rstrip('/')}-base"
+    jvm = spark.sparkContext._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        first = max(1, next_version(spark, root))
+        spark.range(1).select(F.lit(first).alias("base")).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).first()["base"]
 
 
 def read_ledger(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:

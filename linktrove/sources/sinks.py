@@ -1,6 +1,6 @@
 """Artifact and report sinks: week-partitioned folders on any Hadoop path."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linktrove.functions import text as T
@@ -71,7 +71,11 @@ def reference_records(videos: DataFrame, processed_at: Column) -> DataFrame:
 def transcript_docs(
     segments: DataFrame, videos: DataFrame, timestamp: Column, lang: str = "en", include_metadata: bool = True,
 ) -> DataFrame:
-    """Transcript documents: optional metadata header in part 0, then the text parts."""
+    """Transcript documents: optional metadata header in the first part, then the text parts.
+
+    A transcript without a video row has no header and is named by its id.  The
+    parts of a long transcript carry their number in the file name.
+    """
     from linktrove.operators.video import transcript_text
 
     metadata = F.struct(
@@ -91,9 +95,14 @@ def transcript_docs(
         "video_id", header.alias("header"), T.transcript_filename(timestamp.cast("bigint"), F.col("title")).alias("filename")
     )
     text = F.col("text")
-    content = F.when(F.col("part") == 0, F.concat("header", text)).otherwise(text) if include_metadata else text
-    return transcript_text(segments).join(described, "video_id").select(
-        "video_id", "part", "filename", content.alias("content")
+    first = F.col("part") == F.col("_first")
+    content = F.when(first, F.concat(F.coalesce("header", F.lit("")), text)).otherwise(text) if include_metadata else text
+    name = F.coalesce("filename", F.concat("video_id", F.lit(".txt")))
+    numbered = F.regexp_replace(name, F.lit(r"\.txt$"), F.concat(F.lit("_part_"), (F.col("part") + 1).cast("string"), F.lit(".txt")))
+    of_video = Window.partitionBy("video_id")  # one row per part
+    parts = transcript_text(segments).withColumn("_first", F.min("part").over(of_video)).withColumn("_last", F.max("part").over(of_video))
+    return parts.join(described, "video_id", "left").select(
+        "video_id", "part", F.when(F.col("_first") == F.col("_last"), name).otherwise(numbered).alias("filename"), content.alias("content")
     )
 
 

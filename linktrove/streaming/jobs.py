@@ -23,19 +23,21 @@ def stream_capture(
 ) -> StreamingQuery:
     """Each micro-batch of tasks is gated against the ledger and appends its changes.
 
-    Batch N reads ledger versions up to N and overwrites version folder N + 1, so a
-    batch that is delivered again gives the same ledger.  ``attempts`` holds what
-    trying a (task, url) gives.
+    The stream's first version follows all that the ledger held when its checkpoint
+    began and is kept beside the checkpoint.  Batch N reads the versions before its
+    own, first + N, and replaces only that one, so a batch that is delivered again
+    gives the same ledger.  ``attempts`` holds what trying a (task, url) gives.
     """
     spark = tasks.sparkSession
+    base = store.base_version(spark, ledger_root, checkpoint)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
+        version = base + batch_id
         ledger = store.read_ledger(spark, ledger_root, before=version)
         # The rest of the batch runs in the outer session, where AQE may split hot keys.
         rows = gated_rows(K.notebook_gate(materialize(batch, "tasks", spark)), ledger, attempts)
         changes = rows.where(F.col("action") == "try").withColumn("processed_at", F.col("created_at"))
-        store.write_changes(L.latest_updates(changes, L.ORDER), ledger_root, version)
+        store.write_changes(L.latest_updates(changes, L.ORDER), ledger_root, version, replay=True)
 
     writer = tasks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -126,7 +126,7 @@ def test_change_log(spark, tmp_path):
     assert store.compact_ledger(spark, root) == 2
     assert state() == {"a": 2, "b": 1, "c": 3}
     store.write_changes(spark.createDataFrame([("b", 9, START, True)], LEDGER), root, 3)
-    store.write_changes(spark.createDataFrame([("b", 8, START, True)], LEDGER), root, 3)  # replay replaces
+    store.write_changes(spark.createDataFrame([("b", 8, START, True)], LEDGER), root, 3, replay=True)  # replay replaces
     assert state() == {"a": 2, "b": 8, "c": 3}
 
 

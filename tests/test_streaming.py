@@ -54,7 +54,7 @@ def test_stream_capture_equals_batch_and_survives_replay(spark, tmp_path):
     again = spark.createDataFrame(batches[2], schemas.TASKS)
     before = store.read_ledger(spark, root, before=3)
     rerun = gated_rows(K.notebook_gate(again), before, outcomes).where("action = 'try'")
-    store.write_changes(rerun.withColumn("processed_at", F.col("created_at")), root, 3)
+    store.write_changes(rerun.withColumn("processed_at", F.col("created_at")), root, 3, replay=True)
     assert {(r.url, r.task_id, r.success) for r in store.read_ledger(spark, root).collect()} == streamed
 
 
