@@ -101,11 +101,14 @@ def land(p: np.ndarray, size: np.ndarray, expected: np.ndarray) -> np.ndarray:
     free = np.flatnonzero((expected > NEAR) & (expected < 1 - NEAR))
     while len(free):
         error = float(((p - expected) * size).sum())
-        after = np.abs(error + (1 - 2 * p[free]) * size[free])
-        best = int(np.argmin(after))
-        if after[best] >= abs(error) - NEAR:
+        step = (1 - 2 * p[free]) * size[free]
+        # one draw or two at once; a block bounds the pairs
+        after = np.abs(error + step[:, None] + np.where(np.eye(len(free), dtype=bool), 0.0, step[None, :]))
+        i, j = np.unravel_index(int(np.argmin(after)), after.shape)
+        if after[i, j] >= abs(error) - NEAR:
             break
-        p[free[best]] = 1 - p[free[best]]
+        for k in {int(i), int(j)}:
+            p[free[k]] = 1 - p[free[k]]
     return p
 
 
