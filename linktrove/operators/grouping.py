@@ -23,15 +23,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int =
 def ordered_parts(
     df: DataFrame, keys: list[str], index: str, value: Column, out: str, part_rows: int = PART_ROWS
 ) -> DataFrame:
-    """Ordered list per key, cut into parts of ``part_rows`` index values.
+    """Ordered list per key, cut into parts of ``part_rows`` rows.
 
-    ``index`` counts from 0 within a key.  A usual key has exactly one part; a
-    huge one is spread over many groups of bounded size and its parts, read in
-    order, give the whole list.
+    Rows are numbered densely by ``index`` (equal positions by value), so parts
+    count from 0 without gaps and none is longer than ``part_rows``, however
+    sparse or repeated the positions are.  A usual key has exactly one part; the
+    parts of a huge one, read in order, give the whole list.
     """
-    rows = df.withColumn("part", F.floor(F.col(index) / F.lit(part_rows)).cast("int"))
-    listed = rows.groupBy(*keys, "part").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(index).alias("i"), value.alias("v")))).alias("_rows")
+    rows = df.select(*keys, F.col(index).alias("_i"), value.alias("_v"))
+    numbered = stable_numbering(rows, keys, [F.col("_i"), F.col("_v")], F.floor(F.col("_i") / F.lit(10 * part_rows)), "_at")
+    listed = numbered.groupBy(*keys, F.floor((F.col("_at") - 1) / F.lit(part_rows)).cast("int").alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_at").alias("i"), F.col("_v").alias("v")))).alias("_rows")
     )
     return listed.withColumn(out, F.transform("_rows", lambda r: r["v"])).drop("_rows")
 

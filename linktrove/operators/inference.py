@@ -33,13 +33,15 @@ def build_prompt(texts: DataFrame, templates: dict[str, str] | None = None, kind
 
 def summarize_with(
     prompts: DataFrame, make_fn: Callable[[], Callable[[list[str]], list[str]]], max_attempts: int = 3,
-    prompt: str = "prompt", out: str = "summary",
+    prompt: str = "prompt", out: str = "summary", batch_chars: int = 1_000_000,
 ) -> DataFrame:
     """Adds the model's answer for each prompt.
 
     ``make_fn`` is called once per partition and returns ``list[str] ->
     list[str]``.  A failing batch is tried again, then row by row; what still
     fails gets the error text as its answer.  Rows without prompt get NULL.
+    A call gets prompts of up to ``batch_chars`` characters together, a longer
+    prompt alone.
     """
     names = prompts.columns
     prefix = V.SUMMARY_ERROR_PREFIX  # a plain value, so that tasks need not import this package
@@ -66,7 +68,15 @@ def summarize_with(
             answers = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
             if todo.any():
                 fn = fn or make_fn()
-                answers[todo] = call(fn, pdf.loc[todo, prompt].tolist())
+                asked = pdf.loc[todo, prompt].tolist()
+                done, batch, chars = [], [], 0
+                for text in asked:
+                    if batch and chars + len(text) > batch_chars:
+                        done += call(fn, batch)
+                        batch, chars = [], 0
+                    batch.append(text)
+                    chars += len(text)
+                answers[todo] = done + call(fn, batch)
             yield pdf[names].assign(**{out: answers})
 
     return prompts.mapInPandas(run, schema)

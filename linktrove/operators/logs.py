@@ -79,7 +79,8 @@ def console_filter(messages: DataFrame, strict: bool = True) -> DataFrame:
     return messages.where(kept)
 
 
-PIECE = 8
+#: A phrase is looked up by a piece of the largest of these lengths that fits into it.
+PIECES = (1, 2, 4, 8)
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -87,27 +88,24 @@ def _pieces(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def apply_rules(df: DataFrame, key: str, text: str, rules: DataFrame, phrase: str = "phrase", max_rules: int = 500) -> DataFrame:
-    """Rows whose text contains any phrase of a rule table.
+def apply_rules(df: DataFrame, text: str, rules: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """Rows whose text contains any phrase of a rule table of any size.
 
-    Up to ``max_rules`` phrases (counted first) travel with the plan.  A larger
-    table is matched by equality: each phrase is looked up by its first
-    characters among the texts' pieces of that length, and the few candidates
-    are checked in full.
+    Each phrase is looked up by the piece of it that fewest other phrases have,
+    so that a common start does not gather them.  Pieces and candidates carry a
+    digest of the text; the candidates are checked in the semi join that keeps
+    the rows, so no text is copied.  NULL texts and empty phrases match nothing.
     """
-    phrases = rules.select(F.col(phrase).alias("phrase")).where("phrase <> ''").distinct()
-    some = [r[0] for r in phrases.limit(max_rules + 1).collect()]
-    if len(some) <= max_rules:
-        listed = F.array(*[F.lit(p) for p in sorted(some)]).cast("array<string>")
-        return df.where(F.exists(listed, lambda p: F.contains(F.col(text), p)))
-    return df.join(_contained(df.select(key, F.col(text).alias("text")), key, phrases), key, "left_semi")
-
-
-def _contained(texts: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
-    size = F.least(F.length("phrase"), F.lit(PIECE))
-    rules = phrases.select("phrase", F.left("phrase", size).alias("piece"))
-    pieces = F.concat(*[_pieces(F.col("text"), n) for n in range(1, PIECE + 1)])
-    wanted = rules.select("piece").distinct()
-    hits = texts.select(key, F.explode(pieces).alias("piece")).join(wanted, "piece", "left_semi")
-    candidates = hits.join(rules, "piece").select(key, "phrase")
-    return texts.join(candidates, key).where(F.contains("text", "phrase")).select(key)
+    phrases = rules.select(F.col(phrase).alias("_phrase")).where("_phrase <> ''").distinct()
+    pieces = _pieces(F.col("_phrase"), PIECES[0])
+    for n in PIECES[1:]:
+        pieces = F.when(F.length("_phrase") >= n, _pieces(F.col("_phrase"), n)).otherwise(pieces)
+    held = phrases.select("_phrase", F.explode(pieces).alias("_piece"))
+    shared = held.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = held.join(shared, "_piece").groupBy("_phrase").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
+    digest = F.unhex(F.md5(F.col(text)))
+    found = F.concat(*[_pieces(F.col(text), n) for n in PIECES])
+    hits = df.select(digest.alias("_of"), F.explode(found).alias("_piece")).join(
+        rarest.select("_piece").distinct(), "_piece", "left_semi").distinct()
+    candidates = hits.join(rarest, "_piece").select("_of", "_phrase")
+    return df.join(candidates, (digest == F.col("_of")) & F.contains(F.col(text), F.col("_phrase")), "left_semi")

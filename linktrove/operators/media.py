@@ -155,8 +155,10 @@ def assemble_tweet(
     """Post with its media and stored artifacts as one attempt row.
 
     ``artifacts``: tweet_id, index, type, s3_url.  Lists are cut into parts of
-    ``part_rows`` positions; a usual post has one part (0), an oversized one
-    has more rows, whose lists continue in order.  Content stands in part 0.
+    ``part_rows`` rows; a usual post has one part (0), an oversized one has more
+    rows, whose lists continue in order.  Content stands in part 0; later parts
+    carry on its list of locations, so that the contents joined by newline are
+    the whole text.
     """
     media_parts = ordered_parts(items.where(F.col("url").isNotNull()), ["tweet_id"], "index", F.col("url"), "media_urls", part_rows)
     s3_parts = ordered_parts(artifacts.where(F.col("s3_url").isNotNull()), ["tweet_id"], "index", F.col("s3_url"), "s3_urls", part_rows)
@@ -189,13 +191,15 @@ def assemble_tweet(
             .when(F.col("n_files").isNull(), V.NOTE_NOTHING_STORED)
             .otherwise(artifact_note(F.col("n_files"), F.col("type_lines"), F.coalesce("s3_urls", none), saved, uploaded)),
         )
+        more = F.nullif(F.array_join(F.transform(F.coalesce("s3_urls", none), lambda u: F.concat(F.lit("- "), u)), "\n"), F.lit(""))
+        more = more if uploaded else F.lit(None).cast("string")
     else:
-        note = F.lit("")
+        note, more = F.lit(""), F.lit(None).cast("string")
     return base.select(
         "tweet_id",
         F.coalesce("part", F.lit(0)).alias("part"),
         F.lit("twitter").alias("type"),
-        F.when(first, F.concat(block, found, note)).alias("content"),
+        F.when(first, F.concat(block, found, note)).otherwise(more).alias("content"),
         F.nullif(F.concat_ws("; ", F.col("error")), F.lit("")).alias("error"),
         F.lit(V.METHOD_TWEET).alias("extraction_method"),
         F.coalesce("media_urls", none).alias("media_urls"),

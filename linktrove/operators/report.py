@@ -104,8 +104,7 @@ def task_report(tasks: DataFrame, attempts: DataFrame, part_rows: int = PART_ROW
     parts = ordered_parts(sections, ["task_id"], "pos", F.col("section"), "sections", part_rows)
     bad = extract_failed(F.col("content")) | fails_task(F.col("content"), F.col("error"))
     bounds = attempts.groupBy("task_id").agg(
-        F.floor(F.min("pos") / F.lit(part_rows)).cast("int").alias("first_part"),
-        F.floor(F.max("pos") / F.lit(part_rows)).cast("int").alias("last_part"),
+        F.floor((F.count(F.lit(1)) - 1) / F.lit(part_rows)).cast("int").alias("last_part"),
         F.count_if(bad).alias("n_bad"),
     ).where("n_bad = 0").drop("n_bad")
     heads = tasks.select(
@@ -116,7 +115,7 @@ def task_report(tasks: DataFrame, attempts: DataFrame, part_rows: int = PART_ROW
         "task_id", "part",
         F.array_join(
             F.concat(
-                F.when(F.col("part") == F.col("first_part"), F.array("head")).otherwise(none),
+                F.when(F.col("part") == 0, F.array("head")).otherwise(none),
                 F.col("sections"),
                 F.when(F.col("part") == F.col("last_part"), F.array(F.lit(TASK_FOOTER))).otherwise(none),
             ),

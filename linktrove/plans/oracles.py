@@ -615,6 +615,11 @@ ORACLES["time_columns"] = """SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) A
 ORACLES["reference_records"] = """SELECT CAST(p_partkey AS VARCHAR) AS video_id, '1700000000_' || replace(p_name, ' ', '_') || '_reference.json' AS filename,
   CAST(p_partkey AS VARCHAR) AS youtube_video_id, p_name AS title, 'https://www.youtube.com/watch?v=' || p_partkey AS url,
   '1700000000' AS processed_at, 'youtube_video' AS reference_type, 'https://www.youtube.com/embed/' || p_partkey AS direct_embed_url FROM part"""
+ORACLES["transcript_parts"] = """WITH n AS (
+  SELECT CAST(user_id AS VARCHAR) AS video_id, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events),
+p AS (SELECT video_id, CAST(i // 10 AS INT) AS part, string_agg(text, chr(10) ORDER BY i) AS text FROM n GROUP BY video_id, i // 10),
+w AS (SELECT video_id, sum(length(text)) + count(*) - 1 AS n_chars FROM n GROUP BY video_id)
+SELECT video_id, part, text, CAST(n_chars AS BIGINT) AS n_chars FROM p JOIN w USING (video_id)"""
 ORACLES["transcript_docs"] = """SELECT CAST(conv_id AS VARCHAR) AS video_id, 0 AS part, '1700000000_youtube_Talk_' || conv_id || '_part_one.txt' AS filename,
   'Talk ' || conv_id || ': part, one' AS title, 'https://www.youtube.com/watch?v=' || conv_id AS url, 'en' AS language,
   md5(string_agg(text, chr(10) ORDER BY turn)) AS body_md5 FROM conversations GROUP BY conv_id HAVING min(turn) = 0"""
@@ -632,7 +637,7 @@ manifest AS (
   SELECT id, content, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) || '.md' AS filename, isoyear(created_at) AS y, weekofyear(created_at) AS w,
     'week_' || lpad(CAST(weekofyear(created_at) AS VARCHAR), 2, '0') AS folder FROM captures JOIN pages ON id = page_id)"""
 ORACLES["artifact_collisions"] = f"""WITH {MANIFEST},
-keyed AS (SELECT id, folder || '/' || filename AS key, count(*) OVER (PARTITION BY folder || '/' || filename) AS n FROM manifest)
+keyed AS (SELECT id, y || '/' || folder || '/' || filename AS key, count(*) OVER (PARTITION BY y, folder, filename) AS n FROM manifest)
 SELECT id, key, 'https://notes.s3.amazonaws.com/' || key AS s3_url, n AS n_same_key FROM keyed WHERE n > 1"""
 ORACLES["write_artifacts"] = f"""WITH {MANIFEST}
 SELECT id, filename, folder, CAST(y AS INT) AS iso_year, CAST(w AS INT) AS iso_week, content FROM manifest"""
@@ -654,9 +659,9 @@ ORACLES["log_noise_scraper"] = f"""WITH {LOGS} SELECT event_id, message FROM log
     OR ({any_of("message", V.API_POLL_PHRASES)} AND contains(message, 'HTTP/1.1 200')) END"""
 ORACLES["console_filter"] = f"""SELECT event_id, event_type AS type, message FROM (SELECT event_id, event_type, {D.LOG_MESSAGE} AS message FROM events)
 WHERE event_type = 'error' AND message <> '' AND NOT {any_of("lower(message)", V.CONSOLE_ALWAYS_IGNORED + V.CONSOLE_ERROR_IGNORED + V.BROWSER_ERROR_IGNORED)}"""
-ORACLES["apply_rules"] = """WITH rules AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS phrase FROM part)
-SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM rules WHERE contains(d.text, phrase))"""
-ORACLES["apply_many_rules"] = """WITH rules AS (SELECT DISTINCT split_part(text, ' ', 2) AS phrase FROM benchmark)
+ORACLES["apply_rules"] = """WITH rules AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS phrase FROM part)
+SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM rules WHERE phrase <> '' AND contains(d.text, phrase))"""
+ORACLES["apply_many_rules"] = """WITH rules AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS phrase FROM benchmark)
 SELECT page_id, url FROM pages p WHERE EXISTS (SELECT 1 FROM rules WHERE phrase <> '' AND contains(p.url, phrase))"""
 
 # --- streams ---------------------------------------------------------------------------------------------------

@@ -628,6 +628,13 @@ def transcript_text(spark, sf):
     return video.transcript_text(_segments(spark, sf))
 
 
+@query
+def transcript_parts(spark, sf):
+    """Events of a user as segments at sparse positions, in parts of ten."""
+    segments = D.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("video_id"), "event_id", F.col("event_type").alias("text"))
+    return video.transcript_text(segments, part_rows=10, seq="event_id")
+
+
 @query
 def assemble_video(spark, sf):
     videos = D.table(spark, sf, "orders").selectExpr(
@@ -847,16 +854,16 @@ def console_filter(spark, sf):
 @query
 def apply_rules(spark, sf):
     """Documents that contain any phrase of a rule table."""
-    rules = D.table(spark, sf, "part").selectExpr("split(p_name, ' ')[0] AS phrase")
+    rules = D.table(spark, sf, "part").selectExpr("explode(split(p_name, ' ')) AS phrase")
     docs = D.table(spark, sf, "documents").select("doc_id", "text")
-    return logs.apply_rules(docs, "doc_id", "text", rules).select("doc_id")
+    return logs.apply_rules(docs, "text", rules).select("doc_id")
 
 
 @query
 def apply_many_rules(spark, sf):
-    """The path for rule tables too large to travel with the plan."""
-    rules = D.table(spark, sf, "benchmark").selectExpr("split(text, ' ')[1] AS phrase")
-    return logs.apply_rules(D.table(spark, sf, "pages").select("page_id", "url"), "page_id", "url", rules, max_rules=0)
+    """URLs that contain any word of the benchmark."""
+    rules = D.table(spark, sf, "benchmark").selectExpr("explode(split(text, ' ')) AS phrase")
+    return logs.apply_rules(D.table(spark, sf, "pages").select("page_id", "url"), "url", rules)
 
 
 # --- streams -------------------------------------------------------------------------------------------------------

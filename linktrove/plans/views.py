@@ -15,11 +15,8 @@ from linktrove.operators.outcomes import is_ok
 from linktrove.sources.tables import read_table
 
 
-COSTLY_ROWS = ("pages", "documents", "conversations")
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf}/{name}.parquet", spread=name in COSTLY_ROWS)
+    return read_table(spark, f"{sf}/{name}.parquet")
 
 
 # A third of all captures refer to the same things (q = 0): a hot key on purpose.

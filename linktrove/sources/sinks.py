@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from linktrove.functions import text as T
 from linktrove.functions.html import html_to_markdown
+from linktrove.operators.grouping import PART_ROWS
 from linktrove.operators.pages import PAGE_RULES, field
 
 
@@ -19,8 +20,8 @@ def with_week(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def artifact_keys(df: DataFrame, ts: str = "ts", filename: str = "filename", bucket: str | None = None) -> DataFrame:
-    """Adds the object key ``week_NN/filename`` and, with a bucket, its URL."""
-    keyed = with_week(df, ts).withColumn("key", F.concat_ws("/", "folder", filename))
+    """Adds the object key ``year/week_NN/filename`` and, with a bucket, its URL."""
+    keyed = with_week(df, ts).withColumn("key", F.concat_ws("/", F.col("iso_year").cast("string"), "folder", filename))
     if bucket:
         keyed = keyed.withColumn("s3_url", F.concat(F.lit(f"https://{bucket}.s3.amazonaws.com/"), F.col("key")))
     return keyed
@@ -30,12 +31,16 @@ def write_artifacts(df: DataFrame, root: str, fmt: str = "parquet", ts: str = "t
     """Write rows partitioned by ISO year and week (weeks of two years never meet).
 
     Rows are rebalanced by week: AQE splits a busy week over many tasks and
-    files and packs quiet weeks together.
+    files and packs quiet weeks together.  As ``text`` every document stands in a
+    folder of its own name, which a later run with that name replaces.
     """
     spread = with_week(df, ts).hint("rebalance", "iso_year", "iso_week")
     if fmt == "text":
-        spread = spread.select("iso_year", "iso_week", F.col("content").alias("value"))
-    spread.write.mode(mode).partitionBy("iso_year", "iso_week").format(fmt).save(root)
+        named = spread.select("iso_year", "iso_week", "filename", F.col("content").alias("value"))
+        writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("iso_year", "iso_week", "filename").text(root)
+    else:
+        spread.write.mode(mode).partitionBy("iso_year", "iso_week").format(fmt).save(root)
 
 
 def artifact_collisions(manifest: DataFrame, key: str = "key") -> DataFrame:
@@ -70,6 +75,7 @@ def reference_records(videos: DataFrame, processed_at: Column) -> DataFrame:
 
 def transcript_docs(
     segments: DataFrame, videos: DataFrame, timestamp: Column, lang: str = "en", include_metadata: bool = True,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
     """Transcript documents: optional metadata header in the first part, then the text parts.
 
@@ -95,14 +101,14 @@ def transcript_docs(
         "video_id", header.alias("header"), T.transcript_filename(timestamp.cast("bigint"), F.col("title")).alias("filename")
     )
     text = F.col("text")
-    first = F.col("part") == F.col("_first")
+    first = F.col("part") == 0
     content = F.when(first, F.concat(F.coalesce("header", F.lit("")), text)).otherwise(text) if include_metadata else text
     name = F.coalesce("filename", F.concat("video_id", F.lit(".txt")))
     numbered = F.regexp_replace(name, F.lit(r"\.txt$"), F.concat(F.lit("_part_"), (F.col("part") + 1).cast("string"), F.lit(".txt")))
     of_video = Window.partitionBy("video_id")  # one row per part
-    parts = transcript_text(segments).withColumn("_first", F.min("part").over(of_video)).withColumn("_last", F.max("part").over(of_video))
+    parts = transcript_text(segments, part_rows).withColumn("_last", F.max("part").over(of_video))
     return parts.join(described, "video_id", "left").select(
-        "video_id", "part", F.when(F.col("_first") == F.col("_last"), name).otherwise(numbered).alias("filename"), content.alias("content")
+        "video_id", "part", F.when(F.col("_last") == 0, name).otherwise(numbered).alias("filename"), content.alias("content")
     )
 
 

@@ -2,19 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPLIT_BYTES = 128 * 1024 * 1024
 
-
-def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """Parquet table; ``spread`` is for tables whose rows are costly to process.
-
-    A table too small to give every core a file split would be worked on by few
-    tasks.  Its size (known from the files) is checked, and only such a table is
-    spread over the cores; a large one is read as it is, without a shuffle.
-    """
-    df = spark.read.parquet(path)
-    if not spread:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table, read the same way at every size."""
+    return spark.read.parquet(path)

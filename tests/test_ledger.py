@@ -150,3 +150,10 @@ def test_long_groups_are_cut_into_ordered_parts(spark):
     parts = ordered_parts(df, ["k"], "i", F.col("v"), "vs", part_rows=10).orderBy("k", "part").collect()
     assert [(r.k, r.part, len(r.vs)) for r in parts] == [("k", 0, 10), ("k", 1, 10), ("k", 2, 5), ("l", 0, 1)]
     assert [v for r in parts if r.k == "k" for v in r.vs] == [str(i) for i in range(25)]
+
+
+def test_parts_of_sparse_and_repeated_positions(spark):
+    df = spark.createDataFrame([("k", 1000 + 500 * i, f"{i:02}") for i in range(12)] + [("r", 7, f"{i:02}") for i in range(12)], "k string, i int, v string")
+    parts = ordered_parts(df, ["k"], "i", F.col("v"), "vs", part_rows=5).orderBy("k", "part").collect()
+    assert [(r.k, r.part, len(r.vs)) for r in parts] == [(k, p, n) for k in "kr" for p, n in ((0, 5), (1, 5), (2, 2))]
+    assert [v for r in parts if r.k == "r" for v in r.vs] == [f"{i:02}" for i in range(12)]

@@ -72,15 +72,6 @@ def test_hot_keys_meet_no_window_or_list(spark, name):
     assert "Window " not in physical and "collect_list" not in physical
 
 
-def test_large_tables_are_not_spread(spark, monkeypatch):
-    from linktrove.sources import tables
-
-    path = f"{SMALL}/pages.parquet"
-    assert "RoundRobin" in plan(tables.read_table(spark, path, spread=True))
-    monkeypatch.setattr(tables, "SPLIT_BYTES", 1)
-    assert "RoundRobin" not in plan(tables.read_table(spark, path, spread=True))
-
-
 def test_extraction_is_row_local(spark):
     physical = plan(D.captures(spark.read.parquet(f"{SMALL}/pages.parquet")).select(F.col("id"))).split("== Physical Plan ==")[1]
     assert "Exchange" not in physical
