@@ -97,14 +97,18 @@ def apply_rules(df: DataFrame, text: str, rules: DataFrame, phrase: str = "phras
     the rows, so no text is copied.  NULL texts and empty phrases match nothing.
     """
     phrases = rules.select(F.col(phrase).alias("_phrase")).where("_phrase <> ''").distinct()
-    pieces = _pieces(F.col("_phrase"), PIECES[0])
+    size, pieces = F.lit(PIECES[0]), _pieces(F.col("_phrase"), PIECES[0])
     for n in PIECES[1:]:
+        size = F.when(F.length("_phrase") >= n, F.lit(n)).otherwise(size)
         pieces = F.when(F.length("_phrase") >= n, _pieces(F.col("_phrase"), n)).otherwise(pieces)
     held = phrases.select("_phrase", F.explode(pieces).alias("_piece"))
     shared = held.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
     rarest = held.join(shared, "_piece").groupBy("_phrase").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
+    sizes = sorted(r[0] for r in phrases.select(size).distinct().collect())  # at most one row per length in PIECES
+    if not sizes:
+        return df.where(F.lit(False))
     digest = F.unhex(F.md5(F.col(text)))
-    found = F.concat(*[_pieces(F.col(text), n) for n in PIECES])
+    found = F.concat(*[_pieces(F.col(text), n) for n in sizes])
     hits = df.select(digest.alias("_of"), F.explode(found).alias("_piece")).join(
         rarest.select("_piece").distinct(), "_piece", "left_semi").distinct()
     candidates = hits.join(rarest, "_piece").select("_of", "_phrase")
