@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linktrove.llm.count_automata import Grams, Transducer, union
+from linktrove.llm.count_automata import Grams, Transducer, counted, union
 from linktrove.operators.grouping import first_per_key
 from linktrove.sources.scratch import materialize
 
@@ -60,33 +60,42 @@ class Shard:
     def __init__(self):
         self.number: dict[bytes, int] = {b"\n": 0}
         self.runs: list[np.ndarray] = []
-        self.size = 0
+        self.waiting: list[bytes] = []
+        self.bytes = self.size = 0
 
     def add(self, text: bytes) -> None:
-        for part in _chunks(text):
+        self.waiting.append(text)
+        self.bytes += len(text)
+        if self.bytes >= CHUNK:
+            self.read()
+
+    def read(self) -> None:
+        """Split what waits; the line ends between texts end pieces."""
+        for part in _chunks(b"\n".join([*self.waiting, b""])):
             words = _BREAK.sub(b" \n ", part.translate(_LOWER)).replace(b"\t", b" ").split(b" ")
             coded = pa.array(words, pa.binary()).dictionary_encode()
             to = np.array([self.number.setdefault(w, len(self.number)) if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
             run = to[coded.indices.to_numpy()]
             self.runs.append(run[run >= 0].astype(np.int32))
             self.size += len(self.runs[-1])
-        self.runs.append(np.zeros(1, np.int32))
+        self.waiting.clear()
+        self.bytes = 0
 
     def grams(self) -> Grams:
         """Sorted n-grams of one to three words with counts."""
+        self.read()
         words = list(self.number)[1:]
         order = sorted(range(len(words)), key=words.__getitem__)
         rank = np.zeros(len(words) + 1, np.int32)
         rank[np.array(order, np.int64) + 1] = np.arange(1, len(words) + 1)
-        s = rank[np.concatenate(self.runs)]
+        s = rank[np.concatenate([*self.runs, np.zeros(1, np.int32)])]
         one = s > 0
         two = one[:-1] & one[1:]
         three = two[:-1] & one[2:]
         none = np.zeros(len(s), np.int32)
         rows = [np.stack((s[one], none[one], none[one])), np.stack((s[:-1][two], s[1:][two], none[:-1][two])),
                 np.stack((s[:-2][three], s[1:-1][three], s[2:][three]))]
-        labels = np.concatenate(rows, axis=1)
-        return Grams([words[k] for k in order], labels, np.ones(labels.shape[1], np.int64)).merged()
+        return counted([words[k] for k in order], np.concatenate(rows, axis=1))
 
 
 def _cut(grams: Grams, bounds: list[Bound], lang: str) -> Iterator[tuple[int, Grams]]:
@@ -109,9 +118,12 @@ def _cut(grams: Grams, bounds: list[Bound], lang: str) -> Iterator[tuple[int, Gr
     edges.append(len(a))
     for k, (x, y) in enumerate(zip(edges, edges[1:])):
         if x < y:
-            used, labels = np.unique(grams.labels[:, x:y], return_inverse=True)
-            labels = labels.reshape(3, y - x) + (used[0] != 0)
-            yield low + k, Grams([grams.words[w - 1] for w in used if w], labels.astype(np.int32), grams.counts[x:y])
+            part = grams.labels[:, x:y]
+            used = np.zeros(len(grams.words) + 1, bool)
+            used[part] = True
+            used[0] = True
+            to = np.cumsum(used, dtype=np.int32) - 1
+            yield low + k, Grams([grams.words[w - 1] for w in np.flatnonzero(used)[1:].tolist()], to[part], grams.counts[x:y])
 
 
 def _draws(batches: Iterator[pa.RecordBatch], every: int) -> Iterator[pa.RecordBatch]:

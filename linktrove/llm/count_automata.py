@@ -29,21 +29,34 @@ class Grams:
 
     def merged(self) -> Grams:
         """Rows in order, equal ones summed."""
-        order = sort_order(self.labels, len(self.words))
-        rows, counts = self.labels[:, order], self.counts[order]
-        if not len(counts):
+        if not len(self.counts):
             return self
-        new = np.ones(len(counts), bool)
-        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-        first = np.flatnonzero(new)
-        return Grams(self.words, rows[:, first], np.add.reduceat(counts, first))
-
-
-def sort_order(labels: np.ndarray, words: int) -> np.ndarray:
-    if words < 1 << PACK:
-        a, b, c = labels.astype(np.int64)
-        return np.argsort(a << 2 * PACK | b << PACK | c, kind="stable")
-    return np.lexsort(labels[::-1])
+        if len(self.words) < 1 << PACK:
+            keys = packed(self.labels)
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            new = keys[1:] != keys[:-1]
+        else:
+            order = np.lexsort(self.labels[::-1])
+            new = (self.labels[:, order[1:]] != self.labels[:, order[:-1]]).any(axis=0)
+        first = np.concatenate(([0], np.flatnonzero(new) + 1))
+        return Grams(self.words, self.labels[:, order[first]], np.add.reduceat(self.counts[order], first))
+
+
+def packed(labels: np.ndarray) -> np.ndarray:
+    a, b, c = labels.astype(np.int64)
+    return a << 2 * PACK | b << PACK | c
+
+
+def counted(words: list[bytes], labels: np.ndarray) -> Grams:
+    """Rows that count one each: sorted, equal ones counted."""
+    if len(words) >= 1 << PACK or not labels.shape[1]:
+        return Grams(words, labels, np.ones(labels.shape[1], np.int64)).merged()
+    keys = np.sort(packed(labels))
+    first = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    counts = np.diff(np.concatenate((first, [len(keys)])))
+    keys, mask = keys[first], (1 << PACK) - 1
+    return Grams(words, np.stack((keys >> 2 * PACK, keys >> PACK & mask, keys & mask)).astype(np.int32), counts)
 
 
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
