@@ -27,6 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_CHARS = 40
 LEAST_DOCS = 5
+#: A key is hot when it holds at least one in so many of all long lines; so there are no more hot keys than that.
+HOT = 1000
 RUNS = "array<struct<start:int,n:int>>"
 
 
@@ -58,8 +60,12 @@ def line_bitmaps(docs: DataFrame, text: str = "text", id: str = "doc_id",
     # first occurrences of a key in a document, then one row per key: both combine before they shuffle
     seen = lines.groupBy("hash", "doc_id").agg(F.lit(1).alias("one")).groupBy("hash").agg(
         F.count("one").alias("docs"), F.max("doc_id").alias("keeper"))
-    common = seen.where(F.col("docs") >= least_docs).select("hash", "keeper")
-    lost = lines.join(common, "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    common = materialize(seen.where(F.col("docs") >= least_docs), "common")
+    # keys with more than their share of the lines meet them by broadcast (no more than HOT can be such), the others by hash
+    is_hot = F.col("docs") * HOT >= lines.count()
+    hot = F.broadcast(common.where(is_hot).select("hash", "keeper"))
+    met = [lines.join(hot, "hash"), lines.join(hot, "hash", "left_anti").join(common.where(~is_hot).select("hash", "keeper"), "hash")]
+    lost = met[0].unionByName(met[1]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     listed = lost.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("pos")).alias("lost"))
     starts = F.concat(F.array(F.lit(0)), F.transform("lost", lambda p: p + 1))
     ends = F.concat(F.col("lost"), F.array(F.lit(None).cast("int")))
