@@ -6,13 +6,18 @@ several URLs of one video, what it tries depends on when the others succeeded.
 
 Instead of walking rows in order, the time of each URL's first success is
 narrowed from both sides.  ``hi`` counts only tries that are certain, ``lo``
-all that are still possible.  Each round tightens both for all videos at once
-by joins and aggregates; the earliest open row is always decided by the next
-round, so the bounds meet.  Rows of tasks with one URL of a video (nearly all)
-are certain from the start and take no part in the rounds.
+all that are still possible.  A URL left with one open try that waits for one
+other URL is a link: its first success is one of two times, by whether the
+other's comes before a limit.  Two such steps make one of the same form, so
+links are joined with themselves and chains of n tasks settle after log n
+joins (path doubling).  URLs with more open tries take part in the next round,
+which starts from the narrowed bounds; the earliest open row is always decided
+by it, so the bounds meet.  Rows of tasks with one URL of a video (nearly all)
+are certain from the start and take no part, and a round holds only the videos
+that still have an open URL.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linktrove.sources.scratch import materialize
@@ -20,27 +25,84 @@ from linktrove.sources.scratch import materialize
 TASK_ORDER = ["created_at", "task_id"]
 
 
-def _narrow(several: DataFrame, bounds: DataFrame) -> DataFrame:
-    """One round: new bounds (url, first, lo, hi) from the old ones."""
-    # A window over the URLs of one video in one task: bounded by the task's own text.
-    earlier = Window.partitionBy("group_id", "task_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.count(F.lit(1)).over(earlier)
+def _before(time: Column, limit: Column) -> Column:
+    """NULL is never."""
+    return F.coalesce(time < limit, F.lit(False))
+
 
-    def all_before(bound: str):
-        """Every earlier URL of the task succeeded before the task (none: true)."""
-        return (n == 0) | ((F.count(bound).over(earlier) == n) & (F.max(bound).over(earlier) < F.col("at")))
+def _links(several: DataFrame, bounds: DataFrame) -> DataFrame:
+    """One round: (url, first, lo, hi, need, at, early, late) from bounds (url, first, lo, hi).
 
+    ``need`` set: the first success is ``early`` if that of ``need`` is before ``at``, else ``late``.
+    """
+    # A window over the URLs of one video in one task: bounded by the task's own text.
+    earlier = Window.partitionBy("group_id", "task_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = ~_before(F.col("hi"), F.col("at"))
+    dead = ~_before(F.col("lo"), F.col("at"))
     judged = several.join(bounds.select("url", "lo", "hi"), "url").select(
-        "url", "at", "success", all_before("hi").alias("certain"), all_before("lo").alias("possible")
+        "url", "at", "success", F.col("hi").alias("known"),
+        F.coalesce(F.sum(open_.cast("int")).over(earlier), F.lit(0)).alias("n_open"),
+        F.coalesce(F.sum(dead.cast("int")).over(earlier), F.lit(0)).alias("n_dead"),
+        F.max(F.when(open_, F.col("url"))).over(earlier).alias("need"),
+    )
+    waits = F.col("n_open") > 0
+    tries = judged.where("success AND n_dead = 0 AND coalesce(at < known, true)").groupBy("url").agg(
+        F.min("at").alias("possible_at"), F.min(F.when(~waits, F.col("at"))).alias("certain_at"),
+        F.min(F.when(waits, F.struct("at", "n_open", "need"))).alias("wait"), F.max(F.when(waits, F.col("at"))).alias("last_wait"),
     )
-    wins = judged.where("success AND possible").groupBy("url").agg(
-        F.min("at").alias("possible_at"), F.min(F.when(F.col("certain"), F.col("at"))).alias("certain_at")
+    narrowed = bounds.join(tries, "url", "left").select(
+        "url", "first", F.least("hi", "possible_at").alias("lo"), F.least("hi", "certain_at").alias("hi"), "wait", "last_wait"
     )
-    return bounds.select("url", "first").join(wins, "url", "left").select(
-        "url", "first", F.least("first", "possible_at").alias("lo"), F.least("first", "certain_at").alias("hi")
+    single = (F.col("wait.at") == F.col("last_wait")) & (F.col("wait.n_open") == 1) & ~F.col("lo").eqNullSafe(F.col("hi"))
+    return narrowed.select(
+        "url", "first", "lo", "hi", F.when(single, F.col("wait.need")).alias("need"), F.col("wait.at").alias("at"),
+        F.col("wait.at").alias("early"), F.col("hi").alias("late"),
     )
 
 
+def _doubled(links: DataFrame) -> DataFrame:
+    """Every link joined to what it waits for: a link of the other's need, or a known time."""
+    to = links.select(
+        F.col("url").alias("to_url"), F.col("need").alias("to_need"), F.col("at").alias("to_at"), F.col("early").alias("to_early"),
+        F.col("late").alias("to_late"), F.col("lo").alias("to_lo"), F.col("hi").alias("to_hi"),
+    )
+
+    def then(time: str) -> Column:
+        return F.when(_before(F.col(time), F.col("at")), F.col("early")).otherwise(F.col("late"))
+
+    met = links.join(to, F.col("need") == F.col("to_url"), "left")
+    on = F.col("to_need").isNotNull()
+    early = F.when(on, then("to_early")).otherwise(then("to_lo"))
+    late = F.when(on, then("to_late")).otherwise(then("to_hi"))
+    settled = F.col("need").isNotNull() & early.eqNullSafe(late)
+    stay = F.col("need").isNull() | ~on
+    return met.select(
+        "url", "first", F.when(settled, early).otherwise(F.col("lo")).alias("lo"), F.when(settled, late).otherwise(F.col("hi")).alias("hi"),
+        F.when(~settled, F.when(on, F.col("to_need")).otherwise(F.col("need"))).alias("need"),
+        F.when(stay, F.col("at")).otherwise(F.col("to_at")).alias("at"),
+        F.when(stay, F.col("early")).otherwise(early).alias("early"), F.when(stay, F.col("late")).otherwise(late).alias("late"),
+    )
+
+
+def _jumps_left(links: DataFrame) -> DataFrame:
+    """Links that wait for a link or for a URL whose time is known."""
+    ready = links.where(F.col("need").isNotNull() | F.col("lo").eqNullSafe(F.col("hi"))).select(F.col("url").alias("need"))
+    return links.where(F.col("need").isNotNull()).join(ready, "need", "left_semi")
+
+
+def _first_success(several: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(url, since) of all URLs of ``bounds``."""
+    open_url = ~F.col("lo").eqNullSafe(F.col("hi"))
+    while not bounds.where(open_url).isEmpty():
+        groups = several.join(bounds.where(open_url).select("url"), "url", "left_semi").select("group_id").distinct()
+        links = materialize(_links(several.join(groups, "group_id", "left_semi"), bounds), "links")
+        while not _jumps_left(links).isEmpty():
+            # two doublings a stored table
+            links = materialize(_doubled(_doubled(links)), "links")
+        bounds = links.select("url", "first", "lo", "hi")
+    return bounds.select("url", F.col("hi").alias("since"))
+
+
 def gate_with_aliases(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """``action`` (``try``, ``ledger_skip``, ``duplicate``) for every URL row.
 
@@ -72,10 +134,7 @@ def gate_with_aliases(rows: DataFrame, ledger: DataFrame) -> DataFrame:
         wins.join(first, "url", "left").select("url", "first", F.least("first", "win").alias("lo"), F.col("first").alias("hi")),
         "bounds",
     )
-    while not bounds.where(~F.col("lo").eqNullSafe(F.col("hi"))).isEmpty():
-        bounds = materialize(_narrow(several, bounds), "bounds")
-
-    solved = bounds.select("url", F.col("hi").alias("since"))
+    solved = _first_success(several, bounds)
     known = first.join(solved, "url", "left_anti").select("url", F.col("first").alias("since")).unionByName(
         solved.where("since IS NOT NULL")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from linktrove.operators import aliases, ledger
 from linktrove.operators.grouping import ordered_parts, stable_numbering
 from linktrove.sources import ledger as store
+from linktrove.sources.scratch import materialize
 
 ROW = "created_at timestamp_ntz, task_id long, pos int, url string, video_id string, success boolean"
 LEDGER = "url string, task_id long, processed_at timestamp_ntz, success boolean"
@@ -70,6 +71,34 @@ def test_gate_resolves_a_chain_of_dependences(spark):
     assert {(r.task_id, r.pos): r.action for r in got} == sequential(rows, [])
 
 
+def test_long_chains_settle_in_few_tables(spark, monkeypatch):
+    """10 000 tasks that wait for each other, one chain broken in the middle, and a ring."""
+    rows = []
+    for i in range(10_000):
+        at = START + timedelta(minutes=i)
+        rows += [(at, i, 0, f"u{i}", "v", i == 0), (at, i, 1, f"u{i + 1}", "v", True)]
+        rows += [(at, i, 2, f"w{i}", "w", i == 0), (at, i, 3, f"w{i + 1}", "w", i != 5000)]
+    for i in range(50):
+        at = START + timedelta(minutes=i)
+        rows += [(at, i, 4, f"r{i}", "r", False), (at, i, 5, f"r{(i + 1) % 50}", "r", True)]
+    stored = []
+    monkeypatch.setattr(aliases, "materialize", lambda df, name, spark=None: stored.append(name) or materialize(df, name, spark))
+    got = aliases.gate_with_aliases(spark.createDataFrame(rows, ROW), spark.createDataFrame([], LEDGER)).collect()
+    assert {(r.task_id, r.pos): r.action for r in got} == sequential(rows, [])
+    assert len(stored) <= 15
+
+
+def test_waits_for_several_urls_and_repeated_chances(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        at = START + timedelta(minutes=i // 2)
+        picked = rng.sample([f"s{k}" for k in range(max(0, i // 10 - 2), i // 10 + 4)], rng.randint(2, 4))
+        rows += [(at, i, p, u, "s", rng.random() < 0.4) for p, u in enumerate(picked)]
+    got = aliases.gate_with_aliases(spark.createDataFrame(rows, ROW), spark.createDataFrame([], LEDGER)).collect()
+    assert {(r.task_id, r.pos): r.action for r in got} == sequential(rows, [])
+
+
 def test_plain_gate_equals_the_loop_when_urls_do_not_share_videos(spark):
     rows = [r for r in random_rows(5) if r[4] is None]
     base = spark.createDataFrame([("https://p0", 0, START, True)], LEDGER)
