@@ -101,14 +101,9 @@ def task_outcome(tasks: DataFrame, rows: DataFrame, no_close: bool = False) -> D
     )
 
 
-def run_summary(scope: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The nine run counters, one row.
-
-    A notebook task counts both as notebook-skipped and as skipped.
-    ``scope`` is one row per task of the project before the limit.
-    """
-    considered = scope.agg(F.count(F.lit(1))).scalar()
-    counters = outcomes.agg(
+def outcome_counters() -> list[Column]:
+    """Aggregates over task outcomes; gathered while they are written, see ``materialize_counted``."""
+    return [
         F.count(F.lit(1)).alias("tasks_to_process"),
         F.count_if(F.col("counted_as") == "successful").alias("successful_tasks"),
         F.count_if(F.col("counted_as") == "failed").alias("failed_tasks"),
@@ -117,19 +112,42 @@ def run_summary(scope: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "closed").alias("_closed"),
         F.coalesce(F.sum("n_skip"), F.lit(0)).alias("skipped_urls"),
         F.coalesce(F.sum("n_new"), F.lit(0)).alias("processed_urls"),
+    ]
+
+
+def run_summary(scope: DataFrame, counted: dict[str, int]) -> DataFrame:
+    """The nine run counters, one row.
+
+    A notebook task counts both as notebook-skipped and as skipped.
+    ``scope`` is one row per task of the project before the limit; ``counted``
+    holds the :func:`outcome_counters` of the stored outcomes (absent: 0).
+    """
+    n = {name: F.lit(counted.get(name) or 0).cast("long") for name in (
+        "tasks_to_process", "successful_tasks", "failed_tasks", "skipped_tasks", "notebook_tasks_skipped", "skipped_urls", "processed_urls")}
+    closed = F.lit(counted.get("_closed") or 0).cast("long")
+    considered = scope.agg(F.count(F.lit(1)).alias("total_tasks_considered"))
+    return considered.select(
+        *[c.alias(name) for name, c in n.items()], "total_tasks_considered",
+        (F.col("total_tasks_considered") - closed).alias("tasks_remaining_in_capture"),
     )
-    return counters.withColumn("total_tasks_considered", considered).withColumn(
-        "tasks_remaining_in_capture", F.col("total_tasks_considered") - F.col("_closed")
-    ).drop("_closed")
 
 
-def batch_summary(results: DataFrame, key: str, success: str = "success") -> DataFrame:
-    """Counts per batch; a batch without results is no success."""
-    return results.groupBy(key).agg(
+def batch_summary(results: DataFrame, key: str, success: str = "success", batches: DataFrame | None = None) -> DataFrame:
+    """Counts per batch; a batch without results is no success.
+
+    ``batches``: one row per batch (column ``key``), so that an empty one has its row.
+    """
+    counts = results.groupBy(key).agg(
         F.count(success).alias("total"),
         F.count_if(success).alias("successful"),
         F.count_if(~F.col(success)).alias("failed"),
-    ).withColumn("success", F.col("total") > 0)
+    )
+    if batches is not None:
+        known = batches.select(key).distinct().withColumnRenamed(key, "_batch")
+        counts = known.join(counts, F.col("_batch").eqNullSafe(F.col(key)), "full").select(
+            F.coalesce(key, "_batch").alias(key), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "successful", "failed")]
+        )
+    return counts.withColumn("success", F.col("total") > 0)
 
 
 def retry_table(log: DataFrame, keys: list[str], max_attempts: int = V.TRANSCRIPT_ATTEMPTS) -> DataFrame:

@@ -136,12 +136,13 @@ def ledger_upsert(spark, sf):
 
 @query
 def ledger_store(spark, sf):
-    """The same through the stored change log: base, changes, snapshot, read."""
+    """The same through the stored change log: base, changes, snapshot, read of the URLs that are asked for."""
     root = new_folder(spark, "ledger")
     store.write_changes(D.ledger(spark, sf), root, 0)
     store.write_changes(ledger.latest_updates(_updates(spark, sf), ledger.ORDER), root, store.next_version(spark, root))
     store.compact_ledger(spark, root)
-    return store.read_ledger(spark, root).withColumn("success", F.col("success").cast("int"))
+    asked = D.ledger(spark, sf).select("url").unionByName(_updates(spark, sf).select("url"))
+    return store.read_ledger(spark, root, urls=asked).withColumn("success", F.col("success").cast("int"))
 
 
 @query
@@ -885,10 +886,13 @@ def _written(spark, stream):
 
 @query
 def stream_url_state(spark, sf):
-    rows = D.stream_table(spark, sf, "events").select(
+    """Several micro-batches in order of time, so a batch meets the state that earlier ones left."""
+    rows = D.stream_in_batches(spark, sf, "events", "ts").select(
         F.expr("'https://e.example.com/' || user_id").alias("url"), "ts", "event_id", (F.col("event_type") == "purchase").alias("success")
     )
-    return _written(spark, jobs.stream_url_state(rows, ["ts", "event_id"])).select("url", "event_id")
+    root = new_folder(spark, "url-state")
+    jobs.write_updates(jobs.stream_first_success(rows, ["ts", "event_id"]), root, new_folder(spark, "ck")).awaitTermination()
+    return jobs.read_first_success(spark, root, ["ts", "event_id"]).select("url", "event_id")
 
 
 @query

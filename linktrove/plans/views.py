@@ -12,6 +12,7 @@ from linktrove import fixed_values as V
 from linktrove.functions import urls as U
 from linktrove.operators import tasks as K
 from linktrove.operators.outcomes import is_ok
+from linktrove.sources.scratch import new_folder
 from linktrove.sources.tables import read_table
 
 
@@ -162,3 +163,17 @@ def stream_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """The same table as a file stream."""
     schema = table(spark, sf, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf)
+
+
+def stream_in_batches(spark: SparkSession, sf: str, name: str, order: str, batches: int = 3) -> DataFrame:
+    """The same table as a stream of several micro-batches, in order of a column."""
+    path = new_folder(spark, f"stream-{name}")
+    rows = table(spark, sf, name)
+    bounds = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    width = (bounds.high - bounds.low) / batches if bounds.low is not None else None
+    for k in range(batches if width is not None else 0):
+        part = rows.where(F.col(order) >= F.lit(bounds.low + k * width)) if k else rows
+        if k + 1 < batches:
+            part = part.where(F.col(order) < F.lit(bounds.low + (k + 1) * width))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -186,3 +186,32 @@ def test_parts_of_sparse_and_repeated_positions(spark):
     parts = ordered_parts(df, ["k"], "i", F.col("v"), "vs", part_rows=5).orderBy("k", "part").collect()
     assert [(r.k, r.part, len(r.vs)) for r in parts] == [(k, p, n) for k in "kr" for p, n in ((0, 5), (1, 5), (2, 2))]
     assert [v for r in parts if r.k == "r" for v in r.vs] == [f"{i:02}" for i in range(12)]
+
+
+def test_a_read_of_named_urls_is_one_pruned_scan(spark, tmp_path):
+    root = str(tmp_path / "ledger")
+    for version in range(5):
+        rows = spark.range(200 * version, 200 * version + 300).selectExpr(
+            "'https://x/' || id AS url", f"{version}L AS task_id", "timestamp_ntz'2024-01-01 00:00:00' AS processed_at", "id % 2 = 0 AS success")
+        store.write_changes(rows, root, version)
+    asked = spark.createDataFrame([("https://x/250",), ("https://x/7",), ("https://x/7",), ("no",), (None,)], "url string")
+    found = store.read_ledger(spark, root, urls=asked)
+    plan = found._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert "dynamicpruning" in physical and physical.count("FileScan parquet") == 1
+    assert {r.url: r.task_id for r in found.collect()} == {"https://x/250": 1, "https://x/7": 0}
+    whole = {(r.url, r.task_id, r.success) for r in store.read_ledger(spark, root).collect()}
+    assert len(whole) == 1100
+    assert store.compact_ledger(spark, root, before=3) == 2 and store.compact_ledger(spark, root) == 4
+    assert {(r.url, r.task_id, r.success) for r in store.read_ledger(spark, root).collect()} == whole
+    assert store.read_ledger(spark, root, before=3).count() == 700
+    assert store.drop_compacted(spark, root) == [0, 1, 2, 3, 4] and store.next_version(spark, root) == 5
+    assert {(r.url, r.task_id, r.success) for r in store.read_ledger(spark, root).collect()} == whole
+
+
+def test_empty_changes_are_a_version(spark, tmp_path):
+    root = str(tmp_path / "ledger")
+    store.write_changes(spark.createDataFrame([], LEDGER), root, 0)
+    assert store.next_version(spark, root) == 1 and store.read_ledger(spark, root).count() == 0
+    store.write_changes(spark.createDataFrame([("a", 1, START, True)], LEDGER), root, 1)
+    assert [r.url for r in store.read_ledger(spark, root, urls=spark.createDataFrame([("a",)], "url string")).collect()] == ["a"]

@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from linktrove.operators import logs
 from linktrove.plans.capture_run import gated_rows
 from linktrove.operators import tasks as K
 from linktrove.sources import ledger as store
+from linktrove.sources.scratch import scratch_root
 from linktrove.streaming import jobs
 
 START = datetime(2024, 1, 1)
@@ -67,6 +69,40 @@ def test_url_state_keeps_failed_urls_open(spark, tmp_path):
     assert sorted((r.url, r.task_id) for r in spark.read.parquet(out).collect()) == [("a", 4), ("b", 2)]
 
 
+def test_first_success_carries_state_over_batches_and_forgets(spark, tmp_path):
+    ddl = "url string, ts timestamp_ntz, task_id long, success boolean"
+    day = lambda n: START + timedelta(days=n)
+    batches = [
+        [("a", day(0), 1, False), ("b", day(1), 3, True), ("b", day(1), 2, True)],
+        [("a", day(2), 4, True), ("b", day(2), 5, True)],
+        [("b", day(0), 6, True), ("a", day(3), 7, True), ("c", day(3), 8, False)],  # b: earlier time, seen later, span still open
+        [("a", day(40), 9, True)],
+        [("a", day(41), 10, True)],
+        [("a", day(42), 11, True), ("b", day(1), 12, True), ("d", day(1), 13, True)],  # first span closed: b and d come too late
+    ]
+    root = str(tmp_path / "out")
+    stream = jobs.stream_first_success(source(spark, str(tmp_path / "in"), ddl, batches), ["ts", "task_id"], limit="30 days")
+    jobs.write_updates(stream, root, str(tmp_path / "ck")).awaitTermination()
+    assert {r.url: r.task_id for r in jobs.read_first_success(spark, root, ["ts", "task_id"]).collect()} == {"a": 4, "b": 6}
+    spans = sorted((r.url, r.task_id) for r in jobs.read_updates(spark, root, ["url", "span"]).collect())
+    assert spans == [("a", 4), ("a", 9), ("b", 6)]
+
+
+def test_stream_capture_compacts_and_clears_scratch(spark, tmp_path):
+    batches = [[task(i, f"https://a.com/{i} https://a.com/{i // 2}")] for i in range(5)]
+    rows = [r for b in batches for r in b]
+    urls = K.extract_task_urls(spark.createDataFrame(rows, schemas.TASKS)).select("task_id", "pos", "url").collect()
+    outcomes = spark.createDataFrame([(r.task_id, r.pos, r.url, "text", None) for r in urls], ATTEMPTS)
+    scratch = scratch_root(spark) + "/linktrove"
+    before = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    root = str(tmp_path / "ledger")
+    jobs.stream_capture(source(spark, str(tmp_path / "in"), schemas.TASKS, batches), root, str(tmp_path / "ck"), outcomes,
+                        compact_every=2).awaitTermination()
+    assert set(os.listdir(scratch)) == before
+    assert len(os.listdir(f"{root}/kind=snap")) == 2
+    assert {r.url for r in store.read_ledger(spark, root).collect()} == {f"https://a.com/{i}" for i in range(5)}
+
+
 def test_recent_dedup(spark, tmp_path):
     ddl = "url string, ts timestamp_ntz"
     batches = [[("a", START), ("a", START + timedelta(minutes=1))], [("a", START + timedelta(minutes=2)), ("b", START)]]
