@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linktrove import fixed_values as V
 from linktrove.functions.urls import contains_any
+from linktrove.operators import winnowing as W
 
 
 def level_number(level: Column) -> Column:
@@ -79,37 +80,34 @@ def console_filter(messages: DataFrame, strict: bool = True) -> DataFrame:
     return messages.where(kept)
 
 
-#: A phrase is looked up by a piece of the largest of these lengths that fits into it.
-PIECES = (1, 2, 4, 8)
-
-
-def _pieces(text: Column, size: int) -> Column:
-    """Distinct pieces of ``size`` characters of a text, in one pass over it."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-
-
 def apply_rules(df: DataFrame, text: str, rules: DataFrame, phrase: str = "phrase") -> DataFrame:
     """Rows whose text contains any phrase of a rule table of any size.
 
-    Each phrase is looked up by the piece of it that fewest other phrases have,
-    so that a common start does not gather them.  Pieces and candidates carry a
-    digest of the text; the candidates are checked in the semi join that keeps
-    the rows, so no text is copied.  NULL texts and empty phrases match nothing.
+    Short phrases are found in one pass over the texts by an automaton.  Longer
+    ones are looked up by winnowed pieces: of every window of a text only the
+    piece with the least hash is kept, and a phrase that fills a window shares
+    that piece with every text it occurs in.  The candidates are checked where
+    they meet the text, by its digest, so no text is copied.  NULL texts and
+    empty phrases match nothing.
     """
     phrases = rules.select(F.col(phrase).alias("_phrase")).where("_phrase <> ''").distinct()
-    size, pieces = F.lit(PIECES[0]), _pieces(F.col("_phrase"), PIECES[0])
-    for n in PIECES[1:]:
-        size = F.when(F.length("_phrase") >= n, F.lit(n)).otherwise(size)
-        pieces = F.when(F.length("_phrase") >= n, _pieces(F.col("_phrase"), n)).otherwise(pieces)
-    held = phrases.select("_phrase", F.explode(pieces).alias("_piece"))
-    shared = held.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = held.join(shared, "_piece").groupBy("_phrase").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
-    sizes = sorted(r[0] for r in phrases.select(size).distinct().collect())  # at most one row per length in PIECES
+    least = min(W.GUARANTEES)
+    found = [flag(F.col(text)) for flag in W.short_flags(phrases.where(F.length("_phrase") < least))]
+    long = phrases.where(F.length("_phrase") >= least)
+    sizes = W.guarantees_used(long)
     if not sizes:
-        return df.where(F.lit(False))
+        return df.where(reduce(lambda a, b: a | b, found)) if found else df.where(F.lit(False))
     digest = F.unhex(F.md5(F.col(text)))
-    found = F.concat(*[_pieces(F.col(text), n) for n in sizes])
-    hits = df.select(digest.alias("_of"), F.explode(found).alias("_piece")).join(
-        rarest.select("_piece").distinct(), "_piece", "left_semi").distinct()
-    candidates = hits.join(rarest, "_piece").select("_of", "_phrase")
-    return df.join(candidates, (digest == F.col("_of")) & F.contains(F.col(text), F.col("_phrase")), "left_semi")
+    held = W.pieces(long, "_phrase", F.col("_phrase"), sizes, longest_only=True)
+    shared = held.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = held.join(shared, "_piece").groupBy("_of").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
+    hits = W.pieces(df, text, digest, sizes).join(rarest.select("_piece").distinct(), "_piece", "left_semi").distinct()
+    candidates = hits.join(rarest.withColumnRenamed("_of", "_phrase"), "_piece").select("_of", "_phrase")
+    matched = (digest == F.col("_of")) & F.contains(F.col(text), F.col("_phrase"))
+    if not found:
+        return df.join(candidates, matched, "left_semi")
+    hit_digests = df.select(digest.alias("_digest"), F.col(text).alias("_text")).join(
+        candidates, (F.col("_digest") == F.col("_of")) & F.contains(F.col("_text"), F.col("_phrase")), "left_semi")
+    known = hit_digests.select(F.col("_digest").alias("_hit")).distinct()
+    either = reduce(lambda a, b: a | b, [F.col("_hit").isNotNull(), *found])
+    return df.join(known, digest == F.col("_hit"), "left").where(either).drop("_hit")

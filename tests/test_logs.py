@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from linktrove.operators import logs
+from linktrove.operators import logs, winnowing
 
 APP = [
     ("main", "INFO", "Could not convert TeX math x", False),
@@ -57,3 +59,30 @@ def test_rules_judge_rows_not_keys(spark):
     texts = spark.createDataFrame([(1, "a needle"), (1, "nothing"), (None, "needle"), (1, "a needle"), (2, None)], "i int, t string")
     rules = spark.createDataFrame([("needle",), ("https://a.example/x",), ("https://a.example/y",), (None,)], "phrase string")
     assert sorted(map(repr, map(tuple, logs.apply_rules(texts, "t", rules).collect()))) == ["(1, 'a needle')"] * 2 + ["(None, 'needle')"]
+
+
+def test_rules_of_all_lengths_equal_a_plain_search(spark):
+    rng = random.Random(3)
+    words = ["ab", "Abc", "é", "日本語", "x.y", "the ", "  ", "%", "\\", "zz", "\n", "q"]
+    draw = lambda n: "".join(rng.choice(words) for _ in range(n))
+    texts = [draw(rng.randint(0, 60)) for _ in range(150)] + ["", None, "a" * 5000 + "needle" + "a" * 5000]
+    phrases = {draw(rng.randint(1, 3)) + str(k) for k in range(20)} | {"needle", "aaneedleaa", "a" * 40, "é", "", None}
+    for size in (4, 7, 8, 9, 15, 16, 17, 30, 47, 48, 49, 60):
+        whole = rng.choice([t for t in texts if t and len(t) > 80])
+        at = rng.randint(0, len(whole) - size)
+        phrases |= {whole[at:at + size], whole[at:at + size - 1] + "!"}
+    table = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "i int, t string, _n int")
+    for part in (phrases, {p for p in phrases if p and len(p) < 8}, {p for p in phrases if p and len(p) >= 8}, {p for p in phrases if p and len(p) > 48}):
+        rules = spark.createDataFrame([(p,) for p in part], "phrase string")
+        want = [k for k, t in enumerate(texts) if t is not None and any(p and p in t for p in part)]
+        assert sorted(r.i for r in logs.apply_rules(table, "t", rules).collect()) == want
+
+
+def test_kept_pieces_are_shared_and_few():
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(4000))
+    for size, (k, w) in winnowing.GUARANTEES.items():
+        kept = set(winnowing.kept_pieces(text, k, w).tolist())
+        assert len(kept) < 2.5 * len(text) / (w + 1)
+        assert all(kept & set(winnowing.kept_pieces(text[at:at + size], k, w).tolist()) for at in range(0, len(text) - size, 37))
+        assert not len(winnowing.kept_pieces(text[:size - 1], k, w))
