@@ -641,6 +641,10 @@ keyed AS (SELECT id, y || '/' || folder || '/' || filename AS key, count(*) OVER
 SELECT id, key, 'https://notes.s3.amazonaws.com/' || key AS s3_url, n AS n_same_key FROM keyed WHERE n > 1"""
 ORACLES["write_artifacts"] = f"""WITH {MANIFEST}
 SELECT id, filename, folder, CAST(y AS INT) AS iso_year, CAST(w AS INT) AS iso_week, content FROM manifest"""
+ORACLES["write_objects"] = f"""WITH {MANIFEST},
+keyed AS (SELECT *, y || '/' || folder || '/' || filename AS k, substr(sha256(content), 1, 16) AS digest,
+  count(*) OVER (PARTITION BY y, folder, filename) AS n FROM manifest)
+SELECT CASE WHEN n > 1 THEN regexp_replace(k, '\\.md$', '~' || digest || '.md') ELSE k END AS key, filename, CAST(n > 1 AS INT) AS shared, content FROM keyed"""
 ORACLES["stable_numbers"] = """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events"""
 
 # --- logs ------------------------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from linktrove.operators.grouping import stable_numbering
 from linktrove.plans import views as D
 from linktrove.plans.capture_run import CaptureRun
 from linktrove.sources import ledger as store
+from linktrove.sources import objects
 from linktrove.sources import sinks, timeline
 from linktrove.sources.scratch import materialize, new_folder
 from linktrove.sources.tasks import concat_all, flatten_pages
@@ -816,6 +817,15 @@ def write_artifacts(spark, sf):
     return spark.read.parquet(root).select("id", "filename", "folder", "iso_year", "iso_week", "content")
 
 
+@query
+def write_objects(spark, sf):
+    """Written as single named objects and read back by their keys."""
+    root = new_folder(spark, "objects")
+    objects.write_objects(_manifest(spark, sf).select("id", "ts", "filename", "content"), root)
+    read = objects.read_objects(spark, root).select("key", F.col("content").cast("string").alias("content"))
+    return objects.object_manifest(spark, root).join(read, "key").select("key", "filename", F.col("shared").cast("int").alias("shared"), "content")
+
+
 @query
 def write_report(spark, sf):
     """Report rows written as text and read back."""
