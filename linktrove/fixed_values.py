@@ -35,6 +35,10 @@ PROMPT_HEADERS = {
     "youtube": "\nTRANSCRIPTION CONTENT: \n",
 }
 
+# Answers for texts that no model is asked about.
+NO_TEXT_ANSWER = "No content to summarize."
+NO_TRANSCRIPT_ANSWER = "No transcript content to summarize."
+
 METHOD_PAGE = "pandoc_llm"
 METHOD_SEARCH = "google_search"
 METHOD_UNKNOWN = "unknown"

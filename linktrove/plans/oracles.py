@@ -443,6 +443,29 @@ ORACLES["build_prompt"] = f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'webpag
 ORACLES["summarize_with"] = f"""SELECT doc_id, CASE WHEN length({PROMPT}) % 50 = 0 THEN 'Error generating summary: refused'
   ELSE 'prompt of ' || length({PROMPT}) || ' characters' END AS summary FROM documents"""
 
+
+
+def _joined(level: int) -> str:
+    """One level of answers from the one before, four at a time."""
+    return f"""l{level} AS (
+  SELECT doc_id, kind, part // 4 AS part, (n + 3) // 4 AS n, CASE WHEN count(*) = 1 THEN max(answer)
+    ELSE 'answer to ' || (length({q(inference.JOIN_TEMPLATE)}) + sum(9 + length(CAST(part + 1 AS VARCHAR)) + length(answer))) || ' characters' END AS answer
+  FROM l{level - 1} WHERE n > 1 GROUP BY doc_id, kind, part // 4, n)"""
+
+
+ORACLES["summarize_tree"] = f"""WITH t AS (
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'webpage' WHEN 1 THEN 'pdf' WHEN 2 THEN 'github' ELSE 'youtube' END AS kind,
+    CASE doc_id % 11 WHEN 5 THEN '' WHEN 6 THEN '[Error: no text]' ELSE text END AS text FROM documents),
+c AS (SELECT *, greatest(CAST(ceil((length(text) - 100) / 2900.0) AS BIGINT), 1) AS n,
+    CASE WHEN coalesce(text, '') = '' THEN CASE WHEN kind = 'youtube' THEN {q(V.NO_TRANSCRIPT_ANSWER)} ELSE {q(V.NO_TEXT_ANSWER)} END
+      WHEN text LIKE '[Error:%' THEN text END AS given,
+    CASE kind {" ".join(f"WHEN '{k}' THEN {len(inference.TEMPLATES[k].strip() + V.PROMPT_HEADERS[k])}" for k in inference.TEMPLATES)} END AS head FROM t),
+l0 AS (SELECT doc_id, kind, part, n, coalesce(given, 'answer to ' || (head + length(substr(text, part * 2900 + 1, 3000))
+    + CASE WHEN n > 1 THEN length(' (Part ' || (part + 1) || ' of ' || n || ')') ELSE 0 END) || ' characters') AS answer
+  FROM (SELECT *, unnest(range(0, n)) AS part FROM c)),
+{", ".join(_joined(k) for k in range(1, 7))}
+SELECT doc_id, kind, answer AS summary FROM ({" UNION ALL ".join(f"SELECT doc_id, kind, n, answer FROM l{k}" for k in range(7))}) WHERE n = 1"""
+
 # --- media and threads --------------------------------------------------------------------------------
 TIMELINE = """lines AS (
   SELECT conv_id * 1000 + turn AS f, role, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM conversations),

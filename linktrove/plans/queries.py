@@ -387,6 +387,16 @@ def summarize_with(spark, sf):
     return inference.summarize_with(prompts, length_model, max_attempts=2).select("doc_id", "summary")
 
 
+@query
+def summarize_tree(spark, sf):
+    """Whole texts in overlapping chunks of 3000 characters, answers joined four at a time."""
+    def length_model():
+        return lambda prompts: [f"answer to {len(p)} characters" for p in prompts]
+
+    odd = "CASE doc_id % 11 WHEN 5 THEN '' WHEN 6 THEN '[Error: no text]' ELSE text END"
+    return inference.summarize_tree(_texts(spark, sf).withColumn("text", F.expr(odd)), length_model, chunk_chars=3000, overlap=100, fan_in=4)
+
+
 # --- media and threads --------------------------------------------------------------------------------
 @query
 def read_timeline(spark, sf):
