@@ -101,6 +101,57 @@ def inner_text(fragment: Column) -> Column:
     return strip(F.regexp_replace(decode_entities(apply_rules(fragment, ANY_TAG)), r"[ \t\r\n\f]+", " "))
 
 
+#: A tag with what follows it up to the next, quoted values kept whole; text before the first tag; a lone mark.
+SEGMENT = r"""<[!/a-zA-Z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>[^<]*|[^<]+|<"""
+TAG = r"""^<[!/a-zA-Z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>"""
+#: Tags without an end, and tags whose end may be left out, do not count as depth.
+FLAT_TAG = (r"(?i)^</?(?:!|(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr|"
+            r"p|li|dt|dd|option|tr|td|th|thead|tbody|tfoot|colgroup)\b)")
+SELF_CLOSED = r"/>[^>]*$"
+
+
+def elements(html: Column, start: str, direct: bool = False, first_child: bool = False) -> Column:
+    """Inner HTML of the elements whose start tag matches ``start``, each up to its own end tag.
+
+    One fold over the tags of the text with a running depth.  ``direct``: only
+    elements at the top of the fragment; ``first_child``: only those that open
+    right after their parent.  Matches inside a match belong to it.  An element
+    that is cut off reaches to the end.
+    """
+    state = "struct<depth:int,take:boolean,after_open:boolean,held:string,found:array<string>>"
+
+    def make(depth: Column, take: Column, after_open: Column, held: Column, found: Column) -> Column:
+        return F.struct(depth.cast("int").alias("depth"), take.alias("take"), after_open.alias("after_open"),
+                        held.alias("held"), found.alias("found")).cast(state)
+
+    def step(acc: Column, seg: Column) -> Column:
+        tag = F.regexp_extract(seg, TAG, 0)
+        after = F.substring(seg, F.length(tag) + 1, F.length(seg))
+        is_tag = tag != ""
+        counts = is_tag & ~tag.rlike(FLAT_TAG)
+        closes = counts & seg.startswith("</")
+        opens = counts & ~closes & ~tag.rlike(SELF_CLOSED)
+        depth, take = acc["depth"], acc["take"]
+        wanted = tag.rlike(start) & (acc["after_open"] if first_child else F.lit(True))
+        begins = (depth == 0) & opens & (F.lit(True) if direct else wanted)
+        ends = (depth == 1) & closes
+        level = depth + F.when(opens, 1).when(closes, -1).otherwise(0)
+        now_open = F.when(is_tag, opens).otherwise(acc["after_open"])
+        done = F.when(take, F.array_append(acc["found"], acc["held"])).otherwise(acc["found"])
+        return (
+            F.when(begins, make(F.lit(1), wanted, now_open, F.when(wanted, after).otherwise(""), acc["found"]))
+            .when(depth == 0, make(F.lit(0), F.lit(False), now_open, F.lit(""), acc["found"]))
+            .when(ends, make(F.lit(0), F.lit(False), now_open, F.lit(""), done))
+            .otherwise(make(level, take, now_open, F.when(take, F.concat(acc["held"], seg)).otherwise(""), acc["found"]))
+        )
+
+    def finish(acc: Column) -> Column:
+        return F.when((acc["depth"] > 0) & acc["take"], F.array_append(acc["found"], acc["held"])).otherwise(acc["found"])
+
+    begin = make(F.lit(0), F.lit(False), F.lit(True), F.lit(""), F.array().cast("array<string>"))
+    return F.aggregate(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(SEGMENT), F.lit(0)), begin, step, finish)
+
+
 def attribute(tag: Column, name: str) -> Column:
     return F.nullif(
         F.regexp_extract(tag, rf"""(?i)^<[^>]*?\b{name}=["']([^"']*)["']""", 1), F.lit("")

@@ -57,14 +57,6 @@ REPO_RULES = [
     FieldRule("readme", r"(?is)<article\b[^>]*class=\"[^\"]*\bmarkdown-body\b[^\"]*\"[^>]*>(.*?)</article", ""),
 ]
 
-TWEET_RULES = [
-    FieldRule("user_name", r"(?is)data-testid=\"User-Name\"[^>]*>.*?<span\b[^>]*>(.*?)</span", ""),
-    FieldRule("user_handle", r"(?is)data-testid=\"User-Name\"[^>]*>.*?<div\b[^>]*dir=\"ltr\"[^>]*>(?:\s|<[^>]*>)*@?(.*?)<", ""),
-    FieldRule("text", r"(?is)data-testid=\"tweetText\"[^>]*>(.*?)</div", ""),
-    FieldRule("created_at", r"(?is)<time\b[^>]*datetime=\"([^\"]*)\"", ""),
-]
-
-
 def field(html: Column, rule: FieldRule) -> Column:
     if rule.mode == "count":
         return F.size(F.regexp_extract_all(html, F.lit(rule.pattern), F.lit(1)))
@@ -91,6 +83,42 @@ def repo_fields(pages: DataFrame) -> DataFrame:
     )
 
 
+POST_TEXT = r"""(?i)^<[^>]*\bdata-testid=["']tweetText["']"""
+POST_USER = r"""(?i)^<[^>]*\bdata-testid=["']User-Name["']"""
+
+
+def post_fields(pages: DataFrame) -> DataFrame:
+    """Fields of a post page: user_name, user_handle, text, urls, created_at, timestamp.
+
+    Every element ends at its own end tag, whatever is nested in it.  The text is
+    that of the spans directly in the text elements; missing parts are empty, and
+    an unreadable time is NULL.
+    """
+    shown = H.apply_rules(F.coalesce(F.col("html"), F.lit("")), H.HIDDEN_BLOCKS)
+    parts = pages.select("page_id", "url", shown.alias("_html")).select(
+        "page_id", "url", "_html", H.elements(F.col("_html"), POST_TEXT).alias("_texts"),
+        F.get(H.elements(F.col("_html"), POST_USER), 0).alias("_user"),
+    )
+
+    def inner(found: Column) -> Column:
+        return F.coalesce(H.inner_text(F.get(found, 0)), F.lit(""))
+
+    spans = F.flatten(F.transform("_texts", lambda t: H.elements(t, r"(?i)^<span\b", direct=True)))
+    anchors = F.regexp_extract_all(F.array_join("_texts", " "), F.lit(r"(?i)<a\b[^>]*>"), F.lit(0))
+    named = F.transform(anchors, lambda a: F.struct(
+        H.decode_entities(H.attribute(a, "href")).alias("href"), H.decode_entities(H.attribute(a, "title")).alias("title")))
+    kept = F.filter(named, lambda n: n["href"].isNotNull() & keeps_link(n["href"]))
+    at = F.coalesce(F.nullif(F.regexp_extract("_html", r"""(?i)<time\b[^>]*\bdatetime=["']([^"']*)["']""", 1), F.lit("")), F.lit(""))
+    return parts.select(
+        "page_id", "url",
+        inner(H.elements(F.col("_user"), r"(?i)^<span\b", first_child=True)).alias("user_name"),
+        F.regexp_replace(inner(H.elements(F.col("_user"), r"""(?i)^<div\b[^>]*\bdir=["']ltr["']""")), "^([^@]*)@", "$1").alias("user_handle"),
+        H.strip(F.array_join(F.transform(spans, H.inner_text), " ")).alias("text"),
+        F.transform(kept, lambda n: full_link(n["href"], n["title"])).alias("urls"),
+        at.alias("created_at"), F.unix_timestamp(F.try_to_timestamp(at)).alias("timestamp"),
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """All anchors with href, in page order; not those inside comments, scripts or styles."""
     shown = H.apply_rules(F.coalesce(F.col("html"), F.lit("")), H.HIDDEN_BLOCKS)
@@ -109,12 +137,18 @@ def page_links(pages: DataFrame) -> DataFrame:
     )
 
 
+def keeps_link(href: Column) -> Column:
+    return (href != "") & ~href.startswith("/hashtag/") & ~href.startswith("/@")
+
+
+def full_link(href: Column, title: Column) -> Column:
+    """A shortened link's title holds the whole one."""
+    return F.when(href.contains("t.co"), F.coalesce(F.nullif(title, F.lit("")), href)).otherwise(href)
+
+
 def tweet_links(links: DataFrame) -> DataFrame:
     """Links worth keeping of a post; shortened ones use their title."""
-    href = F.col("href")
-    kept = (href != "") & ~href.startswith("/hashtag/") & ~href.startswith("/@")
-    full = F.when(href.contains("t.co"), F.coalesce(F.nullif(F.col("title"), F.lit("")), href)).otherwise(href)
-    return links.where(kept).withColumn("link", full)
+    return links.where(keeps_link(F.col("href"))).withColumn("link", full_link(F.col("href"), F.col("title")))
 
 
 def top_hits(search_index: DataFrame) -> DataFrame:

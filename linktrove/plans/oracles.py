@@ -466,6 +466,12 @@ l0 AS (SELECT doc_id, kind, part, n, coalesce(given, 'answer to ' || (head + len
 {", ".join(_joined(k) for k in range(1, 7))}
 SELECT doc_id, kind, answer AS summary FROM ({" UNION ALL ".join(f"SELECT doc_id, kind, n, answer FROM l{k}" for k in range(7))}) WHERE n = 1"""
 
+ORACLES["post_fields"] = """SELECT conv_id * 1000 + turn AS page_id, role || ' & Co ' || conv_id AS user_name, role || conv_id AS user_handle,
+  'Turn ' || turn || ' of ' || conv_id || ' <all> second ' || turn AS text,
+  'https://full.example.com/' || conv_id || '?a=1&b=2 https://e.example.com' AS urls,
+  CASE WHEN turn % 2 = 0 THEN '2024-03-0' || (turn % 8 + 1) || 'T10:00:00.000Z' ELSE '' END AS created_at,
+  CASE WHEN turn % 2 = 0 THEN CAST(epoch(TIMESTAMP '2024-03-01 10:00:00') AS BIGINT) + turn % 8 * 86400 END AS "timestamp" FROM conversations"""
+
 # --- media and threads --------------------------------------------------------------------------------
 TIMELINE = """lines AS (
   SELECT conv_id * 1000 + turn AS f, role, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM conversations),

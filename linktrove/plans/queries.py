@@ -343,6 +343,22 @@ def extractive_summary(spark, sf):
     return summary.extractive_summary(D.table(spark, sf, "documents"))
 
 
+#: A post page with elements nested in its elements.
+POST_HTML = """concat('<article><div class="top"><div data-testid="User-Name" class="a"><div><div dir="auto"><span><span>', role, ' &amp; Co</span> ', conv_id,
+  '</span></div></div><div dir="ltr"><span>@', role, conv_id, '</span></div></div><div dir="ltr">outside</div></div>',
+  '<div lang="en" data-testid="tweetText"><span>Turn ', turn, '</span><div><span>not direct</span></div><span>of <b>', conv_id, '</b><br> &lt;all&gt;</span>',
+  '<a href="/hashtag/x">x</a><a href="https://t.co/', turn, '" title="https://full.example.com/', conv_id, '?a=1&amp;b=2">short</a><a href=''https://e.example.com''>e</a></div>',
+  '<div><span>after</span></div>', CASE WHEN turn % 2 = 0 THEN concat('<time datetime="2024-03-0', turn % 8 + 1, 'T10:00:00.000Z">then</time>') ELSE '' END,
+  '<div data-testid="tweetText"><span>second ', turn, '</span></article>')"""
+
+
+@query
+def post_fields(spark, sf):
+    posts = D.table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn AS page_id", "'https://x.com/p' AS url", f"{POST_HTML} AS html")
+    return pages.post_fields(posts).select(
+        "page_id", "user_name", "user_handle", "text", F.array_join("urls", " ").alias("urls"), "created_at", "timestamp")
+
+
 @query
 def fallback_enrich(spark, sf):
     failed = D.table(spark, sf, "pages").select(
