@@ -35,6 +35,12 @@ PROMPT_HEADERS = {
     "youtube": "\nTRANSCRIPTION CONTENT: \n",
 }
 
+REPORT_TITLE = "# Capture Report - "
+EMPTY_REPORT = "No tasks with successfully scraped content were processed in this run."
+
+# Words that number stored media in a report.
+MEDIA_WORDS = ["Video", "Photo", "Audio", "Image"]
+
 # Answers for texts that no model is asked about.
 NO_TEXT_ANSWER = "No content to summarize."
 NO_TRANSCRIPT_ANSWER = "No transcript content to summarize."

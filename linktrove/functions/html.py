@@ -101,9 +101,9 @@ def inner_text(fragment: Column) -> Column:
     return strip(F.regexp_replace(decode_entities(apply_rules(fragment, ANY_TAG)), r"[ \t\r\n\f]+", " "))
 
 
-#: A tag with what follows it up to the next, quoted values kept whole; text before the first tag; a lone mark.
-SEGMENT = r"""<[!/a-zA-Z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>[^<]*|[^<]+|<"""
-TAG = r"""^<[!/a-zA-Z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>"""
+#: A comment or tag with what follows it up to the next, quoted values kept whole; text before the first tag; a lone mark.
+SEGMENT = r"""<!--[\s\S]*?-->[^<]*|<[!/a-zA-Z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>[^<]*|[^<]+|<"""
+TAG = r"""^(?:<!--[\s\S]*?-->|<[!/a-zA-Z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>)"""
 #: Tags without an end, and tags whose end may be left out, do not count as depth.
 FLAT_TAG = (r"(?i)^</?(?:!|(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr|"
             r"p|li|dt|dd|option|tr|td|th|thead|tbody|tfoot|colgroup)\b)")

@@ -191,6 +191,36 @@ def link_kind(url: Column) -> Column:
     )
 
 
+#: What a post's content says about its stored media, up to the last location line.
+STORED_MEDIA = (r"Media: (\d+) items? detected\n+[^\n]*[uU]ploaded to S3 \d+ media files?:\n((?:- [^\n]*\n)+)"
+                r"\s*S3 Locations?:\n((?:\s*- https://\S+(?:\n(?=\s*- https://)|))+)")
+
+
+def number_media(text: Column) -> Column:
+    """Stored media as ``Media: N items detected`` and one line ``- [Type: i](url)`` for every location.
+
+    The type is that of the first line of counts; other types than the fixed words
+    take the first of Video and Photo that the counts name, else Media.
+    """
+    def numbered(found: Column) -> Column:
+        counts = F.regexp_extract(found, STORED_MEDIA, 2)
+        first = F.regexp_extract(counts, r"^- ([^:\n]*):", 1)
+        word = (
+            F.when(first.isin(V.MEDIA_WORDS), first)
+            .when(counts.contains("Video:"), "Video").when(counts.contains("Photo:"), "Photo").otherwise("Media")
+        )
+        urls = F.regexp_extract_all(F.regexp_extract(found, STORED_MEDIA, 3), F.lit(r"- (https://\S+)"), F.lit(1))
+        lines = F.transform(urls, lambda u, i: F.concat(
+            F.lit("- ["), word, F.lit(": "), (i + 1).cast("string"), F.lit("]("), u, F.lit(")\n")))
+        return F.concat(F.lit("Media: "), F.regexp_extract(found, STORED_MEDIA, 1), F.lit(" items detected\n\n"), F.array_join(lines, ""))
+
+    def replaced(t: Column) -> Column:
+        blocks = F.array_distinct(F.regexp_extract_all(t, F.lit(STORED_MEDIA), F.lit(0)))
+        return F.when(t.contains("S3 Location"), F.aggregate(blocks, t, lambda acc, b: F.replace(acc, b, numbered(b)))).otherwise(t)
+
+    return computed_once(text, replaced)
+
+
 def label_bare_links(text: Column) -> Column:
     """Turn bare ``- https://...`` lines and ``/name`` links into markdown links."""
     bare = r"(?m)^- (https://(?=[^\s]*{ext})[^\s]+)"

@@ -49,11 +49,14 @@ def best_variant(variants: DataFrame, key: list[str], order: list[Column]) -> Da
 def thread_count(entries: DataFrame, focal_ids: DataFrame | None = None) -> DataFrame:
     """Distinct posts by the author of the focal post; 0 when that author is unknown.
 
+    Where rows name their entry, the author is that of the entry ``tweet-<focal post>``.
     One pass: rows are reduced to distinct (focal, author, post), counted per
     author, and the focal author's count is picked, so that no raw row is
     joined to itself.
     """
     is_focal = F.col("tweet_id") == F.col("focal_tweet_id")
+    if "entry_id" in entries.columns:  # a post quoted elsewhere in the conversation does not name the author
+        is_focal = F.col("entry_id") == F.concat(F.lit("tweet-"), F.col("focal_tweet_id"))
     per_author = entries.groupBy("focal_tweet_id", "author_id").agg(
         F.count_distinct("tweet_id").alias("n"), F.max(is_focal).alias("is_focal")
     )

@@ -43,7 +43,7 @@ def media_links(s3_url: Column, video_path: Column, markdown_path: Column) -> Co
 
 def attempt_section(a: dict[str, Column]) -> Column:
     """Markdown of one attempt."""
-    content = T.label_bare_links(F.coalesce(a["content"], F.lit(V.NO_ATTEMPT_CONTENT)))
+    content = T.label_bare_links(T.number_media(F.coalesce(a["content"], F.lit(V.NO_ATTEMPT_CONTENT))))
     none = F.array().cast("array<string>")
     method = F.coalesce(a["extraction_method"], F.lit(""))
     links = media_links(a["s3_url"], a["downloaded_video_path"], a["downloaded_markdown_path"])

@@ -309,6 +309,15 @@ SELECT task_id FROM attempts GROUP BY task_id HAVING count(*) FILTER ({BAD}) = 0
 ORACLES["batch_summary"] = """SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS successful,
   count(*) FILTER (event_type = 'error') AS failed, 1 AS success FROM events GROUP BY user_id"""
 
+ORACLES["batch_summary_all"] = """SELECT coalesce(user_id, c_custkey) AS batch, count(event_id) AS total,
+  count(*) FILTER (event_type <> 'error') AS successful, count(*) FILTER (event_type = 'error') AS failed, CAST(count(event_id) > 0 AS INT) AS success
+FROM events FULL OUTER JOIN customer ON user_id = c_custkey GROUP BY ALL"""
+
+ORACLES["report_lines"] = f"""WITH {BASE},
+{section("attempts", f"id NOT IN (SELECT task_id FROM attempts WHERE {BAD})")},
+whole AS (SELECT '# Capture Report - 2024-06-01' || chr(10) || chr(10) || string_agg(markdown, chr(10) ORDER BY task_id) AS t FROM report)
+SELECT generate_subscripts(string_split(t, chr(10)), 1) AS n, unnest(string_split(t, chr(10))) AS value FROM whole"""
+
 ORACLES["retry_table"] = """WITH log AS (
   SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id DESC) AS rn FROM events),
 state AS (
@@ -636,6 +645,15 @@ SELECT p_partkey, 'Top' || chr(10) || '- [' || word || '](' || url || ')' || chr
   concat_ws(chr(10), CASE WHEN p_size % 4 = 0 THEN '- [Video: 1](' || url || ')' END, '- [Markdown](' || path || ')',
     CASE p_size % 4 WHEN 1 THEN '- [Image](' || url || ')' WHEN 2 THEN '- [Audio](' || url || ')' WHEN 3 THEN '- [Media](' || url || ')' END) AS links,
   p_name || coalesce(chr(10) || chr(10) || '[Markdown version saved to: ' || path || ']', '') AS note, word FROM p"""
+ORACLES["numbered_media"] = """SELECT p_partkey, 'Post ' || p_partkey || chr(10) || chr(10) || 'Media: ' || p_size || ' items detected' || chr(10) || chr(10)
+  || list_reduce(list_transform(range(1, 2 + p_size % 3), lambda i: '- [' || CASE p_size % 4 WHEN 1 THEN 'Photo' WHEN 3 THEN 'Media' ELSE 'Video' END
+    || ': ' || i || '](https://s.example.com/' || p_partkey || '/' || i || '.mp4)' || chr(10)), lambda a, b: a || b)
+  || chr(10) || chr(10) || 'URLs in tweet:' || chr(10) || ' - https://e.example.com' AS text FROM part"""
+ORACLES["video_names_and_playlists"] = """SELECT p_partkey AS id,
+  p_size || '_' || replace(replace(replace(p_name || '  ' || p_type, ' ', '_'), ',', ''), '__', '_') || '.mp4' AS value FROM part
+UNION ALL SELECT s_suppkey, concat_ws(chr(10), 'YouTube Playlist: "' || s_name || '"',
+  'Channel: ' || CASE WHEN s_suppkey % 3 > 0 THEN 'Channel ' || s_nationkey ELSE 'N/A' END, 'Total Videos: ' || s_nationkey, 'Published: 2024-01-02',
+  'Description Snippet: About', 'Video Preview:', '- "V1"', '- "V2"', '- "V3"', '- "V4"', '- "V5"') FROM supplier"""
 ORACLES["tweet_reports"] = """SELECT o_orderkey, concat_ws(chr(10), 'TWEET DOWNLOAD REPORT', repeat('=', 56), 'User: @u' || o_custkey || ' (' || o_orderstatus || ')',
   'Tweet ID: ' || o_orderkey, 'Posted on: ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' UTC', repeat('-', 80), 'CONTENT: ', o_orderpriority, repeat('-', 80),
   CASE WHEN o_orderkey % 2 = 0 THEN 'URLs in tweet:' || chr(10) || '  - https://e.example.com' || chr(10) || repeat('-', 80) END) AS block FROM orders"""

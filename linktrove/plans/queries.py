@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linktrove import fixed_values as V
 from linktrove.functions import text as T
 from linktrove.functions import urls as U
 from linktrove.operators import aliases, inference, ledger, logs, media, outcomes, pages, report, summary, tasks, video
@@ -263,6 +264,14 @@ def batch_summary(spark, sf):
     return outcomes.batch_summary(rows, "user_id").withColumn("success", F.col("success").cast("int"))
 
 
+@query
+def batch_summary_all(spark, sf):
+    """Every customer is a batch; those without events are batches without results."""
+    rows = D.table(spark, sf, "events").select(F.col("user_id").alias("batch"), (F.col("event_type") != "error").alias("success"))
+    batches = D.table(spark, sf, "customer").select(F.col("c_custkey").alias("batch"))
+    return outcomes.batch_summary(rows, "batch", batches=batches).withColumn("success", F.col("success").cast("int"))
+
+
 @query
 def retry_table(spark, sf):
     log = D.table(spark, sf, "events").select(
@@ -763,6 +772,27 @@ def media_lines(spark, sf):
     )
 
 
+@query
+def numbered_media(spark, sf):
+    """Contents of posts that tell where their media are stored, with numbered lines."""
+    kinds = "CASE p_size % 4 WHEN 0 THEN '- Video: 1\n- Photo: 2' WHEN 1 THEN '- Photo: 3' WHEN 2 THEN '- Animated_gif: 1\n- Video: 1' ELSE '- Sticker: 1' END"
+    urls = "array_join(transform(sequence(1, 1 + p_size % 3), i -> concat('- https://s.example.com/', p_partkey, '/', i, '.mp4')), '\n')"
+    note = f"concat('Post ', p_partkey, '\n\nMedia: ', p_size, ' items detected\n\nUploaded to S3 3 media files:\n', {kinds}, '\n\nS3 Locations:\n', {urls}, '\n\nURLs in tweet:\n - https://e.example.com')"
+    return D.table(spark, sf, "part").select("p_partkey", T.number_media(F.expr(note)).alias("text"))
+
+
+@query
+def video_names_and_playlists(spark, sf):
+    """File names of videos, and the short text about a playlist, of parts and suppliers."""
+    names = D.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), T.video_filename(F.col("p_size").cast("long"), F.concat("p_name", F.lit(" / "), "p_type")).alias("value"))
+    lists = D.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.expr("CASE WHEN s_suppkey % 3 > 0 THEN 'Channel ' || s_nationkey END").alias("channel_title"),
+        F.col("s_nationkey").alias("item_count"), F.lit("2024-01-02").alias("published_at"), F.lit("About").alias("description"),
+        F.expr("transform(sequence(1, 7), i -> named_struct('title', concat('V', i)))").alias("videos_preview"))
+    return names.unionByName(lists.select("id", video.playlist_summary_block().alias("value")))
+
+
 @query
 def tweet_reports(spark, sf):
     posted = T.utc_display(F.col("o_orderdate"))
@@ -858,7 +888,17 @@ def write_report(spark, sf):
     root = new_folder(spark, "report")
     rows = report.task_report(D.capture_tasks(spark, sf), D.attempts(D.task_urls(spark, sf)))
     sinks.write_report(rows, root, "2024-06-01")
-    return spark.read.text(root).groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("value <> ''").select("value", "n")
+    text = spark.read.text(root).where(~F.col("value").startswith(V.REPORT_TITLE))
+    return text.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("value <> ''").select("value", "n")
+
+
+@query
+def report_lines(spark, sf):
+    """Lines of a written report in order: title, blank lines and all."""
+    root = new_folder(spark, "report")
+    rows = report.task_report(D.capture_tasks(spark, sf), D.attempts(D.task_urls(spark, sf)))
+    sinks.write_report(rows, root, "2024-06-01")
+    return sinks.read_report(spark, root, "2024-06-01")
 
 
 @query

@@ -1,12 +1,14 @@
 """Artifact and report sinks: week-partitioned folders on any Hadoop path."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linktrove import fixed_values as V
 from linktrove.functions import text as T
 from linktrove.functions.html import html_to_markdown
 from linktrove.operators.grouping import PART_ROWS
 from linktrove.operators.pages import PAGE_RULES, field
+from linktrove.sources.scratch import materialize
 
 
 def with_week(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -49,16 +51,35 @@ def artifact_collisions(manifest: DataFrame, key: str = "key") -> DataFrame:
     return manifest.join(counts, key)
 
 
-def write_report(task_md: DataFrame, path: str, run_date: str) -> None:
-    """Report rows as text under ``run_date=``, ordered by task and part.
+def write_report(task_md: DataFrame, path: str, run_date: str, title: str | None = None) -> None:
+    """Report rows as text under ``run_date=``: the title, then tasks and parts in order.
 
-    Range partitioning gives every task of the write a slice of the order, so
-    the files read in name order are the report; nothing is collected.
+    A run without tasks says so.  Range partitioning gives every task of the write
+    a slice of the order, so the files read in name order are the report; nothing
+    is collected.  The rows are stored first: sampling the ranges reads them twice.
     """
-    ordered = task_md.repartitionByRange("task_id", "part").sortWithinPartitions("task_id", "part")
+    stored = materialize(task_md.select("task_id", "part", "markdown"), "report")
+    n = stored.agg(F.count(F.lit(1)).alias("n"))
+    head = n.select(
+        F.lit(0).alias("place"), F.lit(None).cast(stored.schema["task_id"].dataType).alias("task_id"),
+        F.lit(0).cast(stored.schema["part"].dataType).alias("part"),
+        F.concat(F.lit(title or V.REPORT_TITLE + run_date), F.lit("\n"), F.when(F.col("n") == 0, F.lit(V.EMPTY_REPORT)).otherwise("")).alias("markdown"),
+    )
+    rows = head.unionByName(stored.withColumn("place", F.lit(1)))
+    ordered = rows.repartitionByRange("place", "task_id", "part").sortWithinPartitions("place", "task_id", "part")
     ordered.select(F.col("markdown").alias("value")).write.mode("overwrite").text(f"{path}/run_date={run_date}")
 
 
+def read_report(spark: SparkSession, path: str, run_date: str) -> DataFrame:
+    """(n, value): the lines of a written report, numbered over its files in name order."""
+    files = spark.read.text(f"{path}/run_date={run_date}", wholetext=True).select(F.input_file_name().alias("file"), "value")
+    # every row ends with a line end, so what follows the last one is no line
+    lines = files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).alias("pos", "value"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("size")).select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    return lines.join(sizes, "file").select((F.col("base") + F.col("pos") + 1).alias("n"), "value")
+
+
 def reference_records(videos: DataFrame, processed_at: Column) -> DataFrame:
     """JSON record per video that points at the video instead of storing it."""
     record = F.struct(
