@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linktrove.llm.batches import unused
 from linktrove.sources.scratch import materialize
 
 WEIGHTS, TOTAL, MOST = (5, 2, 1), 1.5, 2
@@ -164,16 +165,17 @@ def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "
 
 def mixed_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The rows of the mix, repeated as often as they are taken, with all their columns."""
-    key = ["_id", "_source", "_size"]
+    k_id, k_source, k_size, turn, m_id, m_source, m_size, m_turn, times, copy = unused(
+        docs.columns, "id", "source", "size", "turn", "mix_id", "mix_source", "mix_size", "mix_turn", "times", "copy")
     copies = mix(docs, text, id, source, **options).where("copies > 0").select(
-        F.col("doc_id").alias("_id2"), F.col("source").alias("_source2"), F.col("size").alias("_size2"), "copies")
+        F.col("doc_id").alias(m_id), F.col("source").alias(m_source), F.col("size").alias(m_size), F.col("copies").alias(times))
     # rows with equal id, source and size stand for each other
-    copies = copies.withColumn("_k2", F.row_number().over(Window.partitionBy("_id2", "_source2", "_size2").orderBy(F.desc("copies"))))
+    copies = copies.withColumn(m_turn, F.row_number().over(Window.partitionBy(m_id, m_source, m_size).orderBy(F.desc(times))))
     rows = docs.withColumns({
-        "_id": F.col(id).cast("long"), "_source": F.col(source).cast("string"),
-        "_size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")})
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.col(text)))))
-    match = (F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_source").eqNullSafe(F.col("_source2"))
-             & (F.col("_size") == F.col("_size2")) & (F.col("_k") == F.col("_k2")))
-    taken = rows.join(copies, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+        k_id: F.col(id).cast("long"), k_source: F.col(source).cast("string"),
+        k_size: F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")})
+    rows = rows.withColumn(turn, F.row_number().over(Window.partitionBy(k_id, k_source, k_size).orderBy(F.xxhash64(F.col(text)))))
+    match = (F.col(k_id).eqNullSafe(F.col(m_id)) & F.col(k_source).eqNullSafe(F.col(m_source))
+             & (F.col(k_size) == F.col(m_size)) & (F.col(turn) == F.col(m_turn)))
+    taken = rows.join(copies, match).withColumn(copy, F.explode(F.sequence(F.lit(1), times)))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])

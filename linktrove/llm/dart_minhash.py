@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linktrove.llm.batches import slices, unused
 from linktrove.llm.vocab import Recent
 from linktrove.operators.grouping import first_per_key
 from linktrove.sources.scratch import materialize
@@ -42,7 +43,7 @@ from linktrove.sources.scratch import materialize
 BANDS, ROWS = 28, 6
 K = BANDS * ROWS
 SHINGLE, SIMILARITY = 5, 0.8
-CENTRES, LEADERS = 3, 6  # leaders of a bucket in the first round and in each further one
+CENTRES = 3  # leaders of a bucket
 PREFIX = 8  # bytes before the text key in a node's name
 DARTS = K * (np.log(K) + 2)  # darts expected below the rank limit
 CELLS = 1 << 19  # dart cells worked on at a time
@@ -161,16 +162,15 @@ def sign(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
-            words = [shingles.words(t) for t in batch.column(1).to_pylist()]
-            for first in range(0, len(words), 256):
-                part = words[first:first + 256]
+            for rows in slices(batch, 1):
+                part = [shingles.words(t) for t in rows.column(1).to_pylist()]
                 sets = {k: shingles(w) for k, w in enumerate(part) if w}
                 keys = band_keys(signatures(list(sets.values()))).view(np.int64)
                 bands = [[]] * len(part)
                 for row, k in enumerate(sets):
                     bands[k] = keys[row]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(part)), pa.array([text_key(w) for w in part], pa.binary()),
+                    [rows.column(0), pa.array([text_key(w) for w in part], pa.binary()),
                      pa.array([max(0, len(w) - SHINGLE + 1) or min(1, len(w)) for w in part], pa.int64()),
                      pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "bands"])
 
@@ -185,9 +185,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, id: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
-        for batch in batches:
+        for rows in (part for batch in batches for part in slices(batch, 1)):
             keys, hashes, weights = [], [], []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 words = shingles.words(t)
                 if text_key(words) == key[PREFIX:]:  # another row may share the doc_id
                     h, w = shingles(words)
@@ -218,14 +218,65 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            same = [similarity((p["shingles"], p["weights"]), (q["shingles"], q["weights"])) >= SIMILARITY
-                    for p, q in zip(x.to_pylist(), y.to_pylist())]
+            same = []
+            for p, q in zip(x, y):  # one pair's shingles at a time
+                p, q = p.as_py(), q.as_py()
+                same.append(similarity((p["shingles"], p["weights"]), (q["shingles"], q["weights"])) >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return joined.mapInArrow(run, "a binary, b binary")
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a > b) of different roots among nodes (key, root) that may reach the limit; all that do are among them.
+
+    The k-th occurrence of a shingle is an element of its own, so that weights are
+    plain sets.  Elements are ordered by the number of nodes that hold them.
+    """
+    spark = nodes.sparkSession
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, root, shingles, weights in zip(*(batch.column(k) for k in range(4))):
+                x = np.frombuffer(shingles.as_buffer(), "<u8")
+                if len(weights.as_buffer()):
+                    w = np.frombuffer(weights.as_buffer(), "<u4").astype(np.int64)
+                    turn = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                    with np.errstate(over="ignore"):
+                        x = np.repeat(x, w)
+                        x = np.where(turn > 0, mix(x + turn.astype(np.uint64) * ODD[1]), x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key.as_py()], pa.binary()), pa.array([root.as_py()], pa.binary()), pa.array([len(x)], pa.int64()),
+                     pa.array([x.view(np.int64)], pa.list_(pa.int64()))], names=["key", "root", "n", "elements"])
+
+    listed = nodes.join(sets, "key").select("key", "root", "shingles", "weights").mapInArrow(
+        elements, "key binary, root binary, n long, elements array<long>")
+    held = materialize(listed.select("key", "root", "n", F.explode("elements").alias("e")), "elements", spark)
+    # elements of one root cannot link roots; they stand first, as a node's own ones do
+    used = held.groupBy("e", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("e").agg(
+        F.sum("c").alias("df"), F.count(F.lit(1)).alias("roots"), F.max_by("root", "c").alias("top")).where("roots > 1")
+    shared = held.join(used.select("e", "df", "top"), "e").withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    # a window over one text's elements
+    place = F.col("n") - F.col("many") + F.row_number().over(Window.partitionBy("key").orderBy("df", "e")) - 1
+    t = SIMILARITY
+    # a little below the limit, so that rounding loses nothing
+    probe = F.col("n") - F.ceil(F.col("n") * (t - 1e-9))
+    index = F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t) - 1e-9))
+    first = materialize(shared.withColumn("p", place).where(F.col("p") <= probe).select(
+        "key", "root", "n", "e", "p", (F.col("p") <= index).alias("index"), (F.col("root") == F.col("top")).alias("is_top")), "prefixes", spark)
+    x = first.where("index").select("e", *[F.col(c).alias("x_" + c) for c in ("key", "root", "n", "p", "is_top")])
+    y = first.select("e", *[F.col(c).alias("y_" + c) for c in ("key", "root", "n", "p", "is_top")])
+    room = F.least(F.col("x_n") - F.col("x_p"), F.col("y_n") - F.col("y_p"))
+    fits = (
+        (F.col("x_root") != F.col("y_root")) & (F.struct("x_n", "x_key") < F.struct("y_n", "y_key"))
+        & (F.col("x_n") >= F.col("y_n") * (t - 1e-9)) & (room >= (F.col("x_n") + F.col("y_n")) * (t / (1 + t) - 1e-9))
+    )
+    # nodes of different roots are not both of the element's largest root
+    met = x.where("NOT x_is_top").join(y, "e").where(fits).unionByName(x.where("x_is_top").join(y.where("NOT y_is_top"), "e").where(fits))
+    return materialize(met.select(F.greatest("x_key", "y_key").alias("a"), F.least("x_key", "y_key").alias("b")).distinct(), "near-pairs", spark)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, root) of every node in the links (a, b), by alternating stars.
 
@@ -265,49 +316,36 @@ def classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     member = materialize(member.join(full, ["band", "value"]).withColumn("key", named), "buckets", spark)
     sets = materialize(_sets(docs, member.select("doc_id", "key").distinct(), text, id), "shingle-sets", spark)
 
-    tested, roots, turn = None, None, 0
-    while True:
-        # one node per bucket and group (in the first turn every node is a group), the leaders first;
-        # the first leaders are those of least name, under which components hangs their nodes
-        h = F.xxhash64(F.lit(turn), "key") if turn else F.lit(0).cast("long")
-        order = F.struct(h.alias("h"), "key", "n")
-        if roots is None:
-            heads = member.select("band", "value", F.col("key").alias("root"), order.alias("head"))
-        else:  # smaller buckets were compared in full by the first turn
-            heads = materialize(member.where(F.col("size") > CENTRES + 1).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-                                .groupBy("band", "value", "root").agg(F.min(order).alias("head")), "heads", spark)
-        leaders = materialize(first_per_key(heads, ["band", "value"], [F.col("head")], LEADERS if turn else CENTRES).select(
-            "band", "value", F.col("head").alias("leader")), "leaders", spark)
-        met = heads.join(leaders, ["band", "value"]).where(F.col("head.key") != F.col("leader.key")).where(
-            F.least("head.n", "leader.n") >= SIMILARITY * F.greatest("head.n", "leader.n"))
-        pairs = met.select(F.greatest("head.key", "leader.key").alias("a"), F.least("head.key", "leader.key").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs", spark)
-        found = materialize(_verified(pairs, sets), "verified", spark)
-        if found.isEmpty():
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        if roots is None:
-            roots = materialize(components(found), "components", spark)
-        else:  # the new links join groups
-            def named(side: str) -> DataFrame:
-                return roots.select(F.col("key").alias(side), F.col("root").alias(f"{side}_root"))
-
-            between = found.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
-                F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-            over = components(between).select(F.col("key").alias("_old"), F.col("root").alias("_new"))
-            known = roots.union(over.select("_old", "_old")).distinct()
-            roots = materialize(known.join(over, F.col("root") == F.col("_old"), "left").select(
-                "key", F.coalesce("_new", "root").alias("root")), "components", spark)
-        turn += 1
+    # the leaders of a bucket are its nodes of least name, under which components hangs their groups
+    heads = member.select("band", "value", F.struct("key", "n").alias("head"))
+    leaders = materialize(first_per_key(heads, ["band", "value"], [F.col("head")], CENTRES).select(
+        "band", "value", F.col("head").alias("leader")), "leaders", spark)
+    met = heads.join(leaders, ["band", "value"]).where(F.col("head.key") != F.col("leader.key")).where(
+        F.least("head.n", "leader.n") >= SIMILARITY * F.greatest("head.n", "leader.n"))
+    pairs = met.select(F.greatest("head.key", "leader.key").alias("a"), F.least("head.key", "leader.key").alias("b")).distinct()
+    tested = materialize(pairs, "pairs", spark)
+    roots = materialize(components(materialize(_verified(tested, sets), "verified", spark)), "components", spark)
+
+    # smaller buckets were compared in full
+    wide = member.where(F.col("size") > CENTRES + 1).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = wide.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    left = materialize(wide.join(mixed, ["band", "value"], "left_semi").select("key", "root").distinct(), "left", spark)
+    if not left.isEmpty():
+        late = materialize(_verified(prefix_pairs(left, sets).join(tested, ["a", "b"], "left_anti"), sets), "verified", spark)
+
+        def rooted(side: str) -> DataFrame:
+            return roots.select(F.col("key").alias(side), F.col("root").alias(f"{side}_root"))
+
+        between = late.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left").select(
+            F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        over = components(between).select(F.col("key").alias("_old"), F.col("root").alias("_new"))
+        known = roots.union(over.select("_old", "_old")).distinct()
+        roots = materialize(known.join(over, F.col("root") == F.col("_old"), "left").select(
+            "key", F.coalesce("_new", "root").alias("root")), "components", spark)
 
     plain = nodes.select("key", "doc_id")
-    if roots is None:
-        grouped = plain.withColumn("root", F.col("key"))
-    else:
-        roots = roots.select(F.substring("key", PREFIX + 1, 16).alias("key"), "root")
-        grouped = plain.join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+    roots = roots.select(F.substring("key", PREFIX + 1, 16).alias("key"), "root")
+    grouped = plain.join(roots, "key", "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
     grouped = materialize(grouped, "grouped", spark)
     least = materialize(grouped.groupBy("root").agg(F.min("doc_id").alias("class_id")), "least-ids", spark)
     named = materialize(grouped.join(least, "root").select("key", "root", "class_id"), "named", spark)
@@ -322,17 +360,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row of each class, with all columns: the first by doc_id, NULL last, then by words."""
     found = classes(docs, text, id)
+    words_of, kept_id, kept_key, turn = unused(docs.columns, "words", "id", "key", "turn")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f"))
-    keep = materialize(first.select(F.col("f.doc_id").alias("_id"), F.col("f.key").alias("_key")), "kept", docs.sparkSession)
+    keep = materialize(first.select(F.col("f.doc_id").alias(kept_id), F.col("f.key").alias(kept_key)), "kept", docs.sparkSession)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
-        for batch in batches:
-            keys = pa.array([text_key(shingles.words(t)) for t in batch.column(place).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "_words"])
-
-    keyed = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_words", T.BinaryType())]))
-    kept = keyed.join(keep, F.col(id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_key")))
-    once = Window.partitionBy("_id", "_words").orderBy(F.lit(1))  # equal rows: any of them
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+        for rows in (part for batch in batches for part in slices(batch, place)):
+            keys = pa.array([text_key(shingles.words(t)) for t in rows.column(place).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*rows.columns, keys], names=[*rows.schema.names, words_of])
+
+    keyed = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(words_of, T.BinaryType())]))
+    kept = keyed.join(keep, F.col(id).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(words_of) == F.col(kept_key)))
+    once = Window.partitionBy(kept_id, words_of).orderBy(F.lit(1))  # equal rows: any of them
+    return kept.withColumn(turn, F.row_number().over(once)).where(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linktrove.llm.batches import small_batches
 from linktrove.llm.bpe_stream import codec_digests
 from linktrove.llm.collocations import collocations
 from linktrove.llm.conversation_trie import trie_nodes
@@ -57,6 +58,7 @@ def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
@@ -73,6 +75,7 @@ def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = _table(spark, sf_dir, "documents")
     return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
 

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linktrove.llm.batches import slices
 from linktrove.llm.vocab import Recent
 from linktrove.operators.grouping import first_per_key
 from linktrove.sources.scratch import materialize
@@ -170,7 +171,7 @@ class Counted:
 
     def __init__(self, terms: dict[str, int]) -> None:
         self.terms = terms
-        self.pieces = Recent(self._piece, limit=200_000)
+        self.pieces = Recent(self._piece, limit=100_000)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         return tuple(self.terms[f] for f in features(piece) if f in self.terms)
@@ -202,8 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for rows in (part for batch in batches for part in slices(batch, 0)):
+            for t, toxic in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 seen[toxic].update({f for p in set((t or "").lower().split()) for f in features(p)})
         both = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays(
@@ -223,9 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted, seen, rows = Counted(lookup), Counter(), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for t in batch.column(0).to_pylist():
+        for part in (part for batch in batches for part in slices(batch, 0)):
+            rows += part.num_rows
+            for t in part.column(0).to_pylist():
                 seen.update(counted.counts(t).keys())
         seen[-1] = rows
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
@@ -237,10 +238,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = Counted(lookup)
-        for batch in batches:
-            got = [counted.counts(t) for t in batch.column(1).to_pylist()]
+        for part in (part for batch in batches for part in slices(batch, 1)):
+            got = [counted.counts(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([list(c) for c in got], pa.list_(pa.int32())),
+                [part.column(0), part.column(2), pa.array([list(c) for c in got], pa.list_(pa.int32())),
                  pa.array([list(c.values()) for c in got], pa.list_(pa.int64()))], names=["doc_id", "toxic", "ids", "counts"])
 
     held = sample.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, ids array<int>, counts array<long>").collect()
@@ -252,7 +253,7 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.counted = model, Counted(model.terms)
-        self.known = Recent(model.score, limit=100_000, longest=10_000)
+        self.known = Recent(model.score, limit=10_000, longest=1_000)
 
     def __call__(self, text: str | None) -> tuple[float, list[int]]:
         return self.known[self.model.vector(self.counted.counts(text))]
@@ -265,10 +266,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            got = [scorer(t) for t in batch.column(1).to_pylist()]
+        for part in (part for batch in batches for part in slices(batch, 1)):
+            got = [scorer(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))],
+                [part.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))],
                 names=["doc_id", "score", "evidence"])
 
     scored = source.mapInArrow(run, "doc_id long, score double, evidence array<long>")
@@ -284,7 +285,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array([scorer(t)[0] < LIMIT for t in batch.column(place).to_pylist()], pa.bool_()))
+        for part in (part for batch in batches for part in slices(batch, place)):
+            yield part.filter(pa.array([scorer(t)[0] < LIMIT for t in part.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -199,3 +199,55 @@ def test_pipeline(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_link_among_texts_that_share_a_template(spark, seed):
+    """800 texts of 200 common words and 26 own ones, two of them with 24: only that pair reaches 0.8."""
+    common = " ".join(f"c{seed}_{k}" for k in range(200))
+    rows = [(k, common + " " + " ".join(f"o{seed}_{k}_{j}" for j in range(24 if k in (17, 501) else 26))) for k in range(800)]
+    sets = [multiset(t) for _, t in rows]
+    assert similar(sets[17], sets[501]) >= 0.8 > max(similar(sets[17], s) for k, s in enumerate(sets) if k not in (17, 501))
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[501] == 17 and all(got[k] == k for k in got if k != 501)
+
+
+def test_chains_of_texts_just_above_the_limit(spark):
+    """Neighbours are alike, texts further apart are not; repeated words weigh."""
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        words[5 * k:5 * k + 12] = [f"own{k}_{j}" for j in range(12)]
+        rows.append((k, " ".join(words[5 * k // 4:] + ["again"] * 30)))
+    sets = [multiset(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if similar(sets[i], sets[j]) >= 0.8:
+            group = [group[i] if g == group[j] else g for g in group]
+    least = {g: min(k for k, h in enumerate(group) if h == g) for g in set(group)}
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: least[g] for k, g in enumerate(group)} and len(set(group)) < len(rows)
+
+
+def test_stages_take_columns_of_any_name(spark):
+    rows = [(k, f"some words of text number {k % 3} and more of them", "s", 1, "x", 2, "y") for k in range(6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, _id string, _KEY int, _words string").withColumn(
+        "_size", F.lit(1)).withColumn("_turn", F.lit(2)).withColumn("__source", F.lit(3))
+    kept = dart_minhash.keep_one(table)
+    assert kept.columns == table.columns and kept.count() == 3
+    mixed = cube_mix.mixed_documents(table)
+    assert mixed.columns == table.columns and mixed.count() >= 1
+    assert dart_minhash.keep_one(table.limit(0)).count() == 0 and cube_mix.mixed_documents(table.limit(0)).count() == 0
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    from linktrove.llm.batches import slices
+
+    texts = ["x" * n for n in (0, 10, 5000, 1, 1, 1, 700, 700, 0)] + [None]
+    batch = pa.record_batch([pa.array(texts)], names=["t"]).slice(1)
+    parts = [p.column(0).to_pylist() for p in slices(batch, 0, most=1000, rows=3)]
+    assert [t for p in parts for t in p] == texts[1:]
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(len(t or "") for t in p) <= 1000) for p in parts)
