@@ -8,6 +8,7 @@ greatest distance to anything below it.  The queries form such trees too, at mos
 
     <c, d> + |c| s + r |d| + r s      (centres c, d; covering radii r, s)
 
+(in floats, with room for their rounding; scores themselves are whole numbers),
 so a pair of nodes is left when that is below the least kth score among the
 query node's queries.  Those scores start from the bounded sample of pivots, so
 pruning works from the first block on.  Each block gives a query its best k at
@@ -18,8 +19,8 @@ Broadcast: the pivots and one tree of at most ``QUERIES`` queries at a time.
 Defined results: vectors that are NULL or hold NULL or non-finite components
 take no part; an empty vector is the zero vector, shorter ones are filled with
 zeros.  Components saturate at 2^62 and scores at the bounds of a long.
-Repeated ids are rows of their own, but no row is a candidate for a query with
-its id.  NULL ids take no part.  Extra columns are not read.
+Repeated ids are rows of their own, as queries too (each has its own ranks), but
+no row is a candidate for a query with its id.  NULL ids take no part.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -89,36 +90,46 @@ class Tree:
         self.largest = float(np.sqrt((x ** 2).sum(axis=1).max())) if len(x) else 0.0
 
 
+#: The least long: no score yet, and the floor of a query that takes every score.
+LEAST = -(1 << 63)
+
+
 class Best:
-    """The k best (score, id) so far of each query, in the query tree's order."""
+    """The k best (score, id) so far of each query, in the query tree's order; scores are longs."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray | None = None) -> None:
-        self.score = np.full((n, k), -np.inf)
+        self.score = np.full((n, k), LEAST, np.int64)
         self.id = np.full((n, k), -1, np.int64)
-        self.floor = np.full(n, -np.inf) if floor is None else floor
-        self.exact: dict[tuple[int, int], int] = {}
+        self.held = np.zeros((n, k), bool)
+        self.floor = np.full(n, LEAST, np.int64) if floor is None else floor
+
+    def limits(self, first: int, last: int) -> np.ndarray:
+        """Scores below which a candidate cannot be among the best; the least long where any can."""
+        return np.maximum(np.where(self.held[first:last, -1], self.score[first:last, -1], LEAST), self.floor[first:last])
 
     def worst(self, first: int, last: int) -> float:
-        return float(np.maximum(self.score[first:last, -1], self.floor[first:last]).min())
+        least = int(self.limits(first, last).min())
+        return -np.inf if least == LEAST else float(least)
 
-    def offer(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Scores (queries x candidates) of the queries from ``first`` on; -inf is none."""
+    def offer(self, first: int, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        """Scores (queries x candidates) of the queries from ``first`` on; not those that ``own`` marks."""
         k = self.score.shape[1]
-        for q in np.flatnonzero((scores >= np.maximum(self.score[first:first + len(scores), -1], self.floor[first:first + len(scores)])[:, None]).any(axis=1)):
+        wanted = (scores >= self.limits(first, first + len(scores))[:, None]) & ~own
+        for q in np.flatnonzero(wanted.any(axis=1)):
             s = np.concatenate([self.score[first + q], scores[q]])
             i = np.concatenate([self.id[first + q], ids])
-            top = np.lexsort((i, -s))[:k]
-            self.score[first + q], self.id[first + q] = s[top], i[top]
+            held = np.concatenate([self.held[first + q], wanted[q]])
+            top = np.lexsort((i, ~s, ~held))[:k]  # ~s falls as s grows, and never overflows
+            self.score[first + q], self.id[first + q], self.held[first + q] = s[top], i[top], held[top]
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products as floats; exact below 2^53, saturating at the bounds of a long."""
-    with np.errstate(over="ignore"):
-        out = a.astype(np.float64) @ b.astype(np.float64).T
-    if len(out) and out.shape[1] and float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1] >= 2.0 ** 53:
-        whole = a.astype(object) @ b.astype(object).T
-        return np.vectorize(lambda v: max(-(1 << 63), min((1 << 63) - 1, int(v))), otypes=[object])(whole)
-    return out
+    """Exact integer inner products, saturating at the bounds of a long."""
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    if float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * a.shape[1] < 2.0 ** 53:
+        return (x @ y.T).astype(np.int64)
+    whole = a.astype(object) @ b.astype(object).T
+    return np.vectorize(lambda v: max(LEAST, min(-LEAST - 1, int(v))), otypes=[np.int64])(whole) if whole.size else np.zeros(whole.shape, np.int64)
 
 
 def dual_search(queries: Tree, data: Tree, best: Best) -> None:
@@ -151,9 +162,8 @@ def dual_search(queries: Tree, data: Tree, best: Best) -> None:
                 if top[part[0]] < best.worst(first, last):
                     break
                 rows = np.concatenate([np.arange(data.first[d], data.last[d]) for d in nodes[part]])
-                scores = products(queries.exact[first:last], data.exact[rows]).astype(np.float64)
-                scores[queries.ids[first:last][:, None] == data.ids[rows][None, :]] = -np.inf
-                best.offer(first, scores, data.ids[rows])
+                scores = products(queries.exact[first:last], data.exact[rows])
+                best.offer(first, scores, data.ids[rows], queries.ids[first:last][:, None] == data.ids[rows][None, :])
 
     visit(0, np.array([0]))
 
@@ -195,7 +205,7 @@ def build_index(points: DataFrame, pivots: np.ndarray, width: int, block: int =
 
     placed = materialize(points.mapInArrow(assign, "vec_id long, v binary, pivot int"), "placed", spark)
     sizes = materialize(placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("blocks")), "pivot-sizes", spark)
-    salted = placed.join(F.broadcast(sizes), "pivot").withColumn("salt", F.pmod(F.xxhash64("vec_id"), "blocks"))
+    salted = placed.join(F.broadcast(sizes), "pivot").withColumn("salt", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), "blocks"))
 
     def plant(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
@@ -208,7 +218,7 @@ def build_index(points: DataFrame, pivots: np.ndarray, width: int, block: int =
 def search(table: DataFrame, is_query: Column, k: int = 10, vector: str = "embedding", id: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for every row where ``is_query``."""
     spark = table.sparkSession
-    schema = "query_id long, vec_id long, score long"
+    schema = "query_row long, query_id long, vec_id long, score long"
     points = materialize(whole_vectors(table, vector, id), "integer-vectors", spark)
     width = int(points.agg(F.max(F.octet_length("v"))).first()[0] or 0) // 8
     sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).toPandas()
@@ -223,23 +233,21 @@ def search(table: DataFrame, is_query: Column, k: int = 10, vector: str = "embed
         tree = Tree(rows["vec_id"].to_numpy(np.int64), stacked(list(rows["v"]), width))
         start = Best(len(tree.ids), k)
         if len(tree.ids) and len(pivot_ids):
-            scores = products(tree.exact, pivots).astype(np.float64)
-            scores[tree.ids[:, None] == pivot_ids[None, :]] = -np.inf
-            start.offer(0, scores, pivot_ids)
-        shared = spark.sparkContext.broadcast((tree, start.score[:, -1].copy()))
+            start.offer(0, products(tree.exact, pivots), pivot_ids, tree.ids[:, None] == pivot_ids[None, :])
+        shared = spark.sparkContext.broadcast((tree, start.limits(0, len(tree.ids))))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, part=part) -> Iterator[pa.RecordBatch]:
             queries, floor = shared.value
             best = Best(len(queries.ids), k, floor)  # of all blocks of this task
             for batch in batches:
                 for data in batch.column(0).to_pylist():
                     dual_search(queries, pickle.loads(data), best)
-            q, j = np.nonzero(best.score > -np.inf)
+            q, j = np.nonzero(best.held)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(queries.ids[q]), pa.array(best.id[q, j]), pa.array([int(s) for s in best.score[q, j]], pa.int64())],
-                names=["query_id", "vec_id", "score"])
+                [pa.array(q + part * (1 << 32)), pa.array(queries.ids[q]), pa.array(best.id[q, j]), pa.array(best.score[q, j])],
+                names=["query_row", "query_id", "vec_id", "score"])
 
         got = index.mapInArrow(run, schema)
         found = got if found is None else found.union(got)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,7 @@
 """Operator 4: license scans by canonical digests, in DataFrame expressions only.
 
 A text is reduced to what licences are compared by: lower case, copyright lines
-gone, equivalent spellings made one, punctuation and spacing made single spaces.
+gone, punctuation and spacing made single spaces, equivalent spellings made one.
 The digest of the whole text, and of each of its lines, is looked up among the
 digests of known licence texts and notices.
 
@@ -14,6 +14,8 @@ kept; extra columns are not read.  A text may match one licence, its lines sever
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,18 @@ COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n©]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\
 APART = r"[^\p{L}\p{N}]+"
 
 
+def spaced(spelling: str) -> str:
+    """A spelling as it stands once punctuation and spacing are single spaces."""
+    return " ".join(w for w in re.split(r"[^a-z0-9]+", spelling) if w)
+
+
 def canonical(text: Column) -> Column:
+    """Spacing first: a spelling of two words may be broken over lines."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(out, APART, " ")
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, APART, " "))
+        out = F.replace(out, F.lit(spaced(old)), F.lit(spaced(new)))
+    return F.trim(out)
 
 
 def known_digests(spark) -> DataFrame:

@@ -14,7 +14,7 @@ from linktrove.llm.conversation_trie import trie_nodes
 from linktrove.llm.cover_tree import search
 from linktrove.llm.cube_mix import mix
 from linktrove.llm.dart_minhash import near_duplicates
-from linktrove.llm.licenses import APART, COPYRIGHT_LINE, SPELLINGS, scan
+from linktrove.llm.licenses import APART, COPYRIGHT_LINE, SPELLINGS, scan, spaced
 from linktrove.llm.license_texts import KNOWN
 from linktrove.llm.line_dedup import dedup_lines
 from linktrove.llm.merkle import edited_prints
@@ -104,9 +104,10 @@ def _quoted(text: str) -> str:
 
 def _canonical_sql(text: str) -> str:
     out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+    out = f"regexp_replace({out}, {_quoted(APART)}, ' ', 'g')"
     for old, new in SPELLINGS:
-        out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
-    return f"trim(regexp_replace({out}, {_quoted(APART)}, ' ', 'g'))"
+        out = f"replace({out}, {_quoted(spaced(old))}, {_quoted(spaced(new))})"
+    return f"trim({out})"
 
 
 _TOP_SQL = """

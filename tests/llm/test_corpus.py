@@ -117,6 +117,21 @@ def test_search_with_ties_and_unusable_vectors(spark):
     assert cover_tree.search(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_search_is_exact_beyond_floats_and_for_repeated_query_ids(spark):
+    big = (2.0 ** 27 + 1) / 1024
+    rows = [(0, [1.0, 0.0]), (0, [-1.0, 0.0]), (100, [big, 1.0]), (100, [2.0 ** 60, 2.0 ** 60])]
+    rows += [(k, [big + (k % 5) / 1024, float(k % 3)]) for k in range(1, 60)] + [(200, [2.0 ** 70, -2.0 ** 70]), (201, [-2.0 ** 70, 1.0]), (7, [5.0, 5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [max(-(1 << 62), min(1 << 62, int(1024 * x))) for x in v]) for i, v in rows]
+    want = collections.Counter()
+    for i, v in whole:
+        if i % 100 == 0:
+            scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))), j) for j, w in whole if j != i)
+            want.update((i, k + 1, j, -x) for k, (x, j) in enumerate(scored[:10]))
+    got = collections.Counter(tuple(r) for r in cover_tree.search(table, F.col("vec_id") % 100 == 0).collect())
+    assert got == want and sum(got.values()) == 50
+
+
 def test_license_digests(spark, odd):
     rows = [(1, "Copyright (c) 2020 A B\n\nreleased under the M.I.T.  Licence"), (2, "Released under the MIT LICENCE!"),
             (3, "text\nLicensed under CC BY 4.0.\nReleased under the MIT License."), (4, None), (5, "")]
@@ -251,3 +266,15 @@ def test_slices_are_bounded_by_bytes():
     parts = [p.column(0).to_pylist() for p in slices(batch, 0, most=1000, rows=3)]
     assert [t for p in parts for t in p] == texts[1:]
     assert all(len(p) <= 3 and (len(p) == 1 or sum(len(t or "") for t in p) <= 1000) for p in parts)
+
+
+def test_spellings_broken_over_lines(spark):
+    """Hand-written: the known texts with other spellings, wrapped, in capitals and with a copyright line."""
+    rows = []
+    for k, (name, text) in enumerate(licenses.KNOWN):
+        low = text.lower()
+        changed = low.replace("copyright holder", "Copyright\n   Owner").replace("license", "LICENCE").replace("http:", "https:").replace(" percent", " per\ncent")
+        rows.append((k, name, "Copyright (c) 2024 Somebody\n\n" + changed.replace(". ", ".\n\n  ")))
+    table = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(table).collect()}
+    assert all(got[k] is not None for k, _, _ in rows)
