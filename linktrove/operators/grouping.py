@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linktrove.sources.scratch import materialize
+
 PART_ROWS = 1000
 
 
@@ -45,7 +47,9 @@ def stable_numbering(
 
     ``bucket`` must grow with the order (for example the hour of an ordering
     timestamp, or ``floor(position / 10000)``).  Rows are numbered inside
-    (parent, bucket); the sizes of a parent's earlier buckets are added.
+    (parent, bucket); the sizes of a parent's earlier buckets are added.  A bucket
+    is one task's work: where one may hold very many rows (say equal positions),
+    use :func:`range_numbering`.
     """
     keyed = df.withColumn("_bucket", bucket)
     sizes = keyed.groupBy(*parent, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -66,3 +70,27 @@ def stable_numbering(
         .withColumn(name, F.col("_inside") + F.col("_offset"))
         .drop("_bucket", "_inside", "_offset", "_p_bucket", *["_p_" + c for c in parent])
     )
+
+
+def range_numbering(
+    df: DataFrame, parent: list[str], order: list[Column], name: str = "number", partitions: int | None = None
+) -> DataFrame:
+    """Number rows 1..n per parent in order; a parent of any shape is the work of many tasks.
+
+    Rows are cut into ranges of about equal size by parent, order and their place
+    in the input, so that even equal rows fall apart, and stored with the number
+    of their range.  They are numbered inside (parent, range), and the sizes of a
+    parent's earlier ranges are added.  Equal rows are numbered in any order.
+    """
+    tie, slot, size, inside, offset = "_tie", "_slot", "_size", "_inside", "_offset"
+    placed = df.withColumn(tie, F.monotonically_increasing_id())
+    keys = [*[F.col(c) for c in parent], *order, F.col(tie)]
+    ranged = placed.repartitionByRange(partitions, *keys) if partitions else placed.repartitionByRange(*keys)
+    stored = materialize(ranged.withColumn(slot, F.spark_partition_id()), "ranges")
+    sizes = stored.groupBy(*parent, slot).agg(F.count(F.lit(1)).alias(size))
+    before = Window.partitionBy(*parent).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = sizes.select(
+        *[F.col(c).alias("_p_" + c) for c in parent], F.col(slot).alias("_p_slot"), F.coalesce(F.sum(size).over(before), F.lit(0)).alias(offset))
+    numbered = stored.withColumn(inside, F.row_number().over(Window.partitionBy(*parent, slot).orderBy(*order, tie)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_p_" + c)) for c in parent] + [F.col(slot) == F.col("_p_slot")])
+    return numbered.join(offsets, same, "left").withColumn(name, F.col(inside) + F.col(offset)).select(*df.columns, name)

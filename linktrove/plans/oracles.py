@@ -694,6 +694,9 @@ keyed AS (SELECT *, y || '/' || folder || '/' || filename AS k, substr(sha256(co
 SELECT CASE WHEN n > 1 THEN regexp_replace(k, '\\.md$', '~' || digest || '.md') ELSE k END AS key, filename, CAST(n > 1 AS INT) AS shared, content FROM keyed"""
 ORACLES["stable_numbers"] = """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events"""
 
+ORACLES["range_numbers"] = """SELECT l_returnflag, l_linestatus, l_orderkey, l_linenumber,
+  row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_shipdate, l_orderkey, l_linenumber) AS number FROM lineitem"""
+
 # --- logs ------------------------------------------------------------------------------------------------------
 LOGS = f"""log AS (SELECT event_id, ts, {D.LOGGER} AS logger, {D.LOG_LEVEL} AS level, {D.LOG_MESSAGE} AS message FROM events)"""
 WARN = "level IN ('WARNING', 'ERROR', 'CRITICAL')"

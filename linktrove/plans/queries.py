@@ -9,7 +9,7 @@ from linktrove import fixed_values as V
 from linktrove.functions import text as T
 from linktrove.functions import urls as U
 from linktrove.operators import aliases, inference, ledger, logs, media, outcomes, pages, report, summary, tasks, video
-from linktrove.operators.grouping import stable_numbering
+from linktrove.operators.grouping import range_numbering, stable_numbering
 from linktrove.plans import views as D
 from linktrove.plans.capture_run import CaptureRun
 from linktrove.sources import ledger as store
@@ -910,6 +910,14 @@ def stable_numbers(spark, sf):
     )
 
 
+@query
+def range_numbers(spark, sf):
+    """Line items numbered per flag and status: four parents hold all rows, and many rows share a date."""
+    rows = D.table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_shipdate", "l_orderkey", "l_linenumber")
+    order = [F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")]
+    return range_numbering(rows, ["l_returnflag", "l_linestatus"], order).select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "number")
+
+
 # --- logs --------------------------------------------------------------------------------------------------------
 @query
 def log_noise_filter(spark, sf):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linktrove.operators import aliases, ledger
-from linktrove.operators.grouping import ordered_parts, stable_numbering
+from linktrove.operators.grouping import ordered_parts, range_numbering, stable_numbering
 from linktrove.sources import ledger as store
 from linktrove.sources.scratch import materialize
 
@@ -215,3 +215,18 @@ def test_empty_changes_are_a_version(spark, tmp_path):
     assert store.next_version(spark, root) == 1 and store.read_ledger(spark, root).count() == 0
     store.write_changes(spark.createDataFrame([("a", 1, START, True)], LEDGER), root, 1)
     assert [r.url for r in store.read_ledger(spark, root, urls=spark.createDataFrame([("a",)], "url string")).collect()] == ["a"]
+
+
+def test_equal_positions_of_one_parent_are_numbered_by_many_tasks(spark):
+    rows = spark.range(1_000_000).selectExpr("CASE WHEN id < 999990 THEN 'hot' WHEN id < 999995 THEN 'q' END AS parent", "0 AS i", "id % 10 AS v")
+    got = range_numbering(rows, ["parent"], [F.col("i"), F.col("v")], partitions=16).withColumn("task", F.spark_partition_id())
+    stats = {r.parent: r for r in got.groupBy("parent").agg(
+        F.count("*").alias("n"), F.count_distinct("number").alias("d"), F.min("number").alias("low"), F.max("number").alias("high"),
+        F.count_distinct("task").alias("tasks"), F.count_if(F.col("v") != F.floor((F.col("number") - 1) / 99999)).alias("off")).collect()}
+    assert {p: (r.n, r.d, r.low, r.high) for p, r in stats.items()} == {"hot": (999990, 999990, 1, 999990), "q": (5, 5, 1, 5), None: (5, 5, 1, 5)}
+    assert stats["hot"].off == 0
+    plan = got._jdf.queryExecution().toString()
+    assert "_slot" in plan and rows.count() == got.count()
+    most = range_numbering(rows, ["parent"], [F.col("i")], partitions=16)
+    stored = [f for f in most.inputFiles()]
+    assert len({f for f in stored if f.endswith(".parquet")}) >= 12
