@@ -75,9 +75,11 @@ def read_report(spark: SparkSession, path: str, run_date: str) -> DataFrame:
     files = spark.read.text(f"{path}/run_date={run_date}", wholetext=True).select(F.input_file_name().alias("file"), "value")
     # every row ends with a line end, so what follows the last one is no line
     lines = files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).alias("pos", "value"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("size")).select("file", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    return lines.join(sizes, "file").select((F.col("base") + F.col("pos") + 1).alias("n"), "value")
+    # one entry per file
+    sizes = lines.groupBy("file").agg(F.count(F.lit(1)).alias("size")).agg(F.sort_array(F.collect_list(F.struct("file", "size"))).alias("all"))
+    bases = sizes.select(F.explode(F.transform("all", lambda x, i: F.struct(
+        x["file"].alias("file"), F.aggregate(F.slice("all", F.lit(1), i), F.lit(0).cast("long"), lambda a, y: a + y["size"]).alias("base")))).alias("f"))
+    return lines.join(bases.select("f.file", "f.base"), "file").select((F.col("base") + F.col("pos") + 1).alias("n"), "value")
 
 
 def reference_records(videos: DataFrame, processed_at: Column) -> DataFrame:
