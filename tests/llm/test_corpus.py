@@ -278,3 +278,13 @@ def test_spellings_broken_over_lines(spark):
     table = spark.createDataFrame(rows, "doc_id long, name string, text string")
     got = {r.doc_id: r.license for r in licenses.scan(table).collect()}
     assert all(got[k] is not None for k, _, _ in rows)
+
+
+def test_empty_tables_give_no_rows(spark, docs):
+    none = docs.limit(0)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    hosts = pages.select(F.lit("a.example").alias("host")).limit(1)
+    assert dart_minhash.near_duplicates(none).count() == 0 and cube_mix.mix(none).count() == 0
+    assert licenses.scan(none).count() == 0 and merkle.edited_prints(none).count() == 0
+    assert url_cascade.judge(pages.limit(0), [("allow", "org", "/")], hosts).count() == 0
+    assert url_cascade.judge(pages, [("allow", "org", "/")], hosts.limit(0)).count() == pages.count()
