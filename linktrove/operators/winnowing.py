@@ -5,15 +5,20 @@ each window is kept, about 2 / (w + 1) of all.  Two texts that share w + k - 1
 characters in a row share the kept piece of that window.
 """
 
+import sys
 from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# tasks get these functions whole, so that workers need not import this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: (piece, window) by the length that is sure to share a kept piece.
 GUARANTEES = {k + w - 1: (k, w) for k, w in ((4, 5), (8, 9), (16, 33))}
 #: Phrases of one automaton, all shorter than the least guarantee; more of them take further automata.

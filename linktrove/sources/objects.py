@@ -17,18 +17,23 @@ must mean the same place on every executor.
 
 import json
 import posixpath
+import sys
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from linktrove.sources.sinks import artifact_keys
 
+# tasks get these classes whole, so that workers need not import this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NAME = "artifact_objects"
 _MANIFEST = pa.schema([("job", pa.string()), ("task", pa.string()), ("key", pa.string()), ("filename", pa.string()), ("shared", pa.bool_()),
                        ("bytes", pa.int64())])
