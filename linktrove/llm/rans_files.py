@@ -19,6 +19,7 @@ raises ``ValueError``.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,11 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linktrove.llm.vocab import BYTE_PATTERN, EXOTIC, MergeList, Recent, WordSplit, spaced_pieces
+from linktrove.llm.batches import joined
+from linktrove.llm.vocab import BYTE_PATTERN, EXOTIC, MergeList, Recent, WordSplit, letters_of, spaced_pieces
 from linktrove.sources.scratch import materialize, new_folder
 
 BLOCK, POINT, LANES = 1 << 18, 1 << 17, 1024
 SCALE = 20  # frequencies are shares of 2^SCALE
+#: Marks that follow a word; none begins or ends a contraction or a special string of the public files.
+MARKS = ".,;:!?)%#$&*"
+#: Entries of one generation of a word cache.
+LIMIT = 400_000
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 
@@ -51,11 +57,31 @@ class IdEncoder:
         self.dtype = np.dtype("<u2" if len(merges.surface) <= 1 << 16 else "<u4")
         self.special = merges.special_pattern
         self.split = WordSplit(merges, BYTE_PATTERN, lower=False)
-        self.words = Recent(lambda w: self._bytes([t.id for t in self.model.tokenize(w)]), limit=200_000)
-        self.pieces = Recent(lambda p: self._piece(" " + p), limit=200_000)
+        self.words = Recent(self._word, limit=LIMIT // 2)
+        #: words of letters alone and the marks behind them, as they stand in the text
+        self.plain = Recent(lambda w: self._word(letters_of(" " + w)), limit=LIMIT)
+        self.bare = Recent(lambda w: self._word(letters_of(w)), limit=LIMIT // 4)
+        self.marks = Recent(self._word, limit=10_000)
+        self.newline = self._word(letters_of("\n"))
+        self.pieces = Recent(lambda p: self._marked(self.plain, " ", p), limit=LIMIT)
+        self.heads = Recent(lambda p: self._marked(self.bare, "", p), limit=LIMIT // 4)
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+
+    def _word(self, letters: str) -> bytes:
+        return self._bytes([t.id for t in self.model.tokenize(letters)])
+
+    def _marked(self, words: Recent, first: str, piece: str) -> bytes:
+        """Ids of a piece behind ``first``.
+
+        Letters with marks behind are two words of ``BYTE_PATTERN``, the space
+        with the letters and the marks, and hold no contraction or special string.
+        """
+        word = piece.rstrip(MARKS)
+        if not word.isalpha() or EXOTIC.search(word):
+            return self._piece(first + piece)
+        return words[word] + self.marks[piece[len(word):]] if len(word) < len(piece) else words[word]
 
     def _piece(self, piece: str) -> bytes:
         if EXOTIC.search(piece) or self.special is not None and self.special.search(piece):
@@ -65,8 +91,14 @@ class IdEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        first, rest = spaced_pieces(text)
-        return (self._piece(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
+        lines = text.split("\n")
+        if any(not line or line[0].isspace() or line[-1].isspace() for line in lines):
+            lines = [text]  # white space beside a line end: not cut into lines
+        out = []
+        for line in lines:
+            first, rest = spaced_pieces(line)
+            out.append((self.heads[first] if first else b"") + b"".join(map(self.pieces.__getitem__, rest)))
+        return self.newline.join(out)
 
 
 _encoders: dict[str, IdEncoder] = {}
@@ -98,11 +130,10 @@ def count_ids(ids: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                part = np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"))
-                if len(part) > len(total):
-                    total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
-                total[:len(part)] += part
+            part = np.bincount(np.frombuffer(joined(batch.column(0)), f"<u{width}"))
+            if len(part) > len(total):
+                total = np.concatenate([total, np.zeros(len(part) - len(total), np.int64)])
+            total[:len(part)] += part
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 

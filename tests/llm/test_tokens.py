@@ -5,10 +5,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from linktrove.llm import bpe_stream, prefix_counts, rans_files
+from linktrove.llm.batches import joined
 from linktrove.llm.vocab import vocabulary_path
 
 BYTE, WORD = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("word_bpe_49k.json")
@@ -103,3 +105,19 @@ def test_empty_table(spark, docs):
     assert rans_files.token_files(none, BYTE).count() == 0
     assert prefix_counts.count_tokens(none, BYTE).count() == 0
     assert bpe_stream.codec_digests(none, WORD).count() == 0
+
+
+def test_encoder_cuts_texts_as_the_library_does(monkeypatch):
+    monkeypatch.setattr(rans_files, "LIMIT", 40)
+    coder, library = rans_files.IdEncoder(BYTE), Tokenizer.from_file(BYTE)
+    draw = random.Random(3)
+    parts = ["one", "été", "Two", ".", ",", "%%%", "#", "'s", "'", "\n", "\n\n", " ", "  ", "\t", "\x1c", " ", "\xa0", "7", "<|endoftext|>", "<|", "|>", "字", "don't", "ªº", "x²"]
+    for _ in range(4000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 12)))
+        assert np.frombuffer(coder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_ids_of_a_batch_are_counted_in_one_go():
+    values = pa.array([b"ab", b"", b"cdef", b"g"])
+    assert joined(values).to_pybytes() == b"abcdefg" and joined(values[1:3]).to_pybytes() == b"cdef"
+    assert joined(values[:0]).to_pybytes() == b""
