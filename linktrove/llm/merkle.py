@@ -2,11 +2,15 @@
 
 Leaves are up to three words of a sentence, their parents the lines of the text as
 paragraphs, theirs sections: runs of paragraphs that end where a paragraph's
-digest says so, so an edit moves no section end elsewhere.  The
-root is a digest of the section digests.  A fingerprint is the root and the tree
-in short digests, written as a string: equal texts have equal fingerprints,
-unequal roots tell texts apart, and walking the branches that differ finds the
-edits.  The likeness of two fingerprints is the share of leaves they have in common.
+digest says so, so an edit moves no section end elsewhere.  The root is a digest
+of the section digests, a section's of its paragraphs', a paragraph's of its leaves'.
+
+A fingerprint is the whole tree as a string: the root, then per section its digest
+and per paragraph its digest and its leaves, cut to ``LEAF_BYTES`` each.  Equal texts
+have equal fingerprints, unequal roots tell texts apart.  Two trees are walked
+from the root: branches of equal digest are settled without being opened, what is
+left is compared one level down.  The likeness is the share of leaves in common,
+and the paragraphs left over locate the edits.
 
 Documents follow each other by descending id.  They are dealt into ranges of ids
 and sorted there; each range also gets the first document of the range after it,
@@ -20,6 +24,7 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections import Counter
@@ -32,53 +37,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SECTION = 16
+#: Bytes of a leaf and of a branch that a fingerprint keeps, in base 64; a branch takes 8 characters.
+LEAF_BYTES, BRANCH_BYTES, BRANCH_CHARS = 4, 6, 8
 #: Up to three words, fewer at the end of a sentence; the leaves of a line are all of it.
 LEAF = re.compile(r"\s*(?:\S*[^\s.!?]\s+){0,2}\S+|\s+$")
 NO_ID = -(1 << 63)
 
 
+def letters(digest: bytes) -> str:
+    return base64.urlsafe_b64encode(digest).decode().rstrip("=")
+
+
 def fingerprint(text: str | None) -> str:
-    """``root:`` and leaves by ``,``, paragraphs by ``;``, sections by ``/``."""
+    """``root:`` and sections by ``/``: digest, ``=`` and paragraphs by ``;``, each its digest and its leaves."""
     if not text:
         return "0" * 32 + ":"
     sections, paragraphs, digests = [], [], []
     root = hashlib.blake2b(digest_size=16)
+
+    def close() -> None:
+        section = hashlib.blake2b(b"".join(digests), digest_size=16).digest()
+        root.update(section)
+        sections.append(letters(section[:BRANCH_BYTES]) + "=" + ";".join(paragraphs))
+
     for line in text.split("\n"):
         leaves = [xxhash.xxh3_64_digest(s) for s in LEAF.findall(line)]
         digest = xxhash.xxh3_64_digest(b"".join(leaves))
-        paragraphs.append(",".join([x[:4].hex() for x in leaves]))
+        paragraphs.append(letters(digest[:BRANCH_BYTES]) + letters(b"".join([x[:LEAF_BYTES] for x in leaves])))
         digests.append(digest)
         if digest[7] % 4 == 0 or len(digests) == SECTION:
-            root.update(hashlib.blake2b(b"".join(digests), digest_size=16).digest())
-            sections.append(";".join(paragraphs))
+            close()
             paragraphs, digests = [], []
-    root.update(hashlib.blake2b(b"".join(digests), digest_size=16).digest())
     if digests:
-        sections.append(";".join(paragraphs))
+        close()
     return root.hexdigest() + ":" + "/".join(sections)
 
 
-def leaves_of(print_: str) -> list[str]:
-    body = print_.partition(":")[2]
-    return [x for x in re.split("[,;/]", body) if x]
+def sections_of(print_: str) -> list[str]:
+    return print_.partition(":")[2].split("/") if not print_.endswith(":") else []
+
+
+def paragraphs_of(section: str) -> list[str]:
+    return section[BRANCH_CHARS + 1:].split(";")
+
+
+def leaves_of(paragraph: str) -> list[bytes]:
+    body = paragraph[BRANCH_CHARS:]
+    body = base64.urlsafe_b64decode(body + "=" * (-len(body) % 4))
+    return [body[k:k + LEAF_BYTES] for k in range(0, len(body), LEAF_BYTES)]
+
+
+def leaf_count(print_: str) -> int:
+    return sum((len(p) - BRANCH_CHARS) * 3 // (4 * LEAF_BYTES) for s in sections_of(print_) for p in paragraphs_of(s))
+
+
+def unmatched(mine: list[str], other: list[str]) -> tuple[list[int], list[int]]:
+    """Places of the branches on either side that have no partner of equal digest on the other."""
+    left = Counter([b[:BRANCH_CHARS] for b in other])
+    open_mine = []
+    for k, b in enumerate(mine):
+        if left[b[:BRANCH_CHARS]] > 0:
+            left[b[:BRANCH_CHARS]] -= 1
+        else:
+            open_mine.append(k)
+    open_other = []
+    for k in range(len(other) - 1, -1, -1):
+        if left[other[k][:BRANCH_CHARS]] > 0:
+            left[other[k][:BRANCH_CHARS]] -= 1
+            open_other.append(k)
+    return open_mine, open_other[::-1]
+
+
+def walk(a: str, b: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(section, paragraph, branch) of the paragraphs of either tree that the other lacks."""
+    if a.partition(":")[0] == b.partition(":")[0]:
+        return [], []
+    mine, other = sections_of(a), sections_of(b)
+    left, right = unmatched(mine, other)
+    below = [[(i, j, p) for i in places for j, p in enumerate(paragraphs_of(side[i]))] for side, places in ((mine, left), (other, right))]
+    keep = unmatched(*([p for _, _, p in rows] for rows in below))
+    return [below[0][k] for k in keep[0]], [below[1][k] for k in keep[1]]
 
 
 def likeness(a: str, b: str) -> float:
     """Leaves in common, counted with repeats, as a share of the mean number of leaves."""
     if a == b:
         return 1.0
-    x, y = Counter(leaves_of(a)), Counter(leaves_of(b))
-    n = sum(x.values()) + sum(y.values())
-    return 2 * sum((x & y).values()) / n if n else 0.0
+    x, y = (Counter(x for _, _, p in side for x in leaves_of(p)) for side in walk(a, b))
+    apart = sum((x - y).values()) + sum((y - x).values())
+    n = leaf_count(a) + leaf_count(b)
+    return (n - apart) / n if n else 0.0
 
 
 def differences(a: str, b: str) -> list[tuple[int, int]]:
     """(section, paragraph) places of ``a`` that ``b`` does not have; equal branches are not entered."""
-    if a.partition(":")[0] == b.partition(":")[0]:
-        return []
-    mine, other = a.partition(":")[2].split("/"), b.partition(":")[2].split("/")
-    whole, parts = set(other), {p for s in other for p in s.split(";")}
-    return [(i, j) for i, s in enumerate(mine) if s not in whole for j, p in enumerate(s.split(";")) if p not in parts]
+    return [(i, j) for i, j, _ in walk(a, b)[0]]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:

@@ -1,5 +1,6 @@
 """Corpus operators against brute force, and the pipeline."""
 
+import base64
 import collections
 import hashlib
 import itertools
@@ -7,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from linktrove.llm import cover_tree, cube_mix, dart_minhash, licenses, merkle, toxicity, url_cascade
@@ -177,6 +179,40 @@ def test_differing_branches_locate_the_edit():
     assert len({merkle.fingerprint(t) for t in ("a", "a\n", "\na", "a ", " a", "")}) == 6
 
 
+def leaf_share(a, b):
+    """Likeness from the texts alone."""
+    x, y = (collections.Counter(s for line in t.split("\n") for s in merkle.LEAF.findall(line)) if t else collections.Counter() for t in (a, b))
+    n = sum(x.values()) + sum(y.values())
+    return 1.0 if a == b else 2 * sum((x & y).values()) / n if n else 0.0
+
+
+def test_trees_against_leaves_of_the_texts(docs):
+    found = [r.text or "" for r in docs.collect()][:120] + ["", "\n", " ", "one two three four", "one two three four\n" * 40]
+    size = sum(map(len, found))
+    for a, b in zip(found, found[1:] + found[:1]):
+        for x, y in ((a, b), (a, a[:len(a) - len(a) // 3] + b[:len(a) // 3]), (a, "\n".join(a.split("\n")[::-1]))):
+            assert merkle.likeness(merkle.fingerprint(x), merkle.fingerprint(y)) == pytest.approx(leaf_share(x, y), abs=2e-3)
+            assert (merkle.fingerprint(x) == merkle.fingerprint(y)) == (x == y)
+    assert sum(len(merkle.fingerprint(t)) for t in found) < 0.4 * size
+
+
+def test_branches_carry_the_digests_of_what_is_below():
+    text = "\n".join(f"line {k} has some words. and more of them" for k in range(50))
+    print_ = merkle.fingerprint(text)
+    lines, sections = iter(text.split("\n")), []
+    for s in merkle.sections_of(print_):
+        digests = []
+        for p in merkle.paragraphs_of(s):
+            leaves = [xxhash.xxh3_64_digest(x) for x in merkle.LEAF.findall(next(lines))]
+            digests.append(xxhash.xxh3_64_digest(b"".join(leaves)))
+            assert p[:8] == base64.urlsafe_b64encode(digests[-1][:6]).decode()
+            assert merkle.leaves_of(p) == [x[:4] for x in leaves]
+        sections.append(hashlib.blake2b(b"".join(digests), digest_size=16).digest())
+        assert s[:8] == base64.urlsafe_b64encode(sections[-1][:6]).decode()
+    assert next(lines, None) is None
+    assert print_[:32] == hashlib.blake2b(b"".join(sections), digest_size=16).hexdigest()
+
+
 def test_toxicity_index_is_exact_and_scores_separate(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     model = toxicity.fit(docs, labels)
