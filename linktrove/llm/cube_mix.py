@@ -8,7 +8,8 @@ that change neither the expected number of documents nor that of words, until
 they are 0 or 1.  It works on blocks of at most about ``BLOCK`` documents of one
 source; at most two documents of a block stay fractional, and they meet those
 of other blocks in the next round.  The last two of a source are landed, and
-draws of its last block exchanged, where the words come nearest to the target.
+draws of its last block exchanged, where the words come nearest to the target
+and the number of documents stays less than one from its expectation.
 
 Defined results: NULL text has size 0, NULL source is a source of its own, in
 the last place.  Documents without words have size 0 and are taken 0 words.
@@ -91,20 +92,25 @@ def flight(p: np.ndarray, size: np.ndarray, draw: np.random.Generator) -> np.nda
 
 
 def land(p: np.ndarray, size: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """Settle the last probabilities, then exchange draws while that brings the words nearer.
+    """Settle the at most two last probabilities, then exchange draws while that brings the words nearer.
 
+    The number of documents stays less than one from its expectation.
     ``expected``: the probabilities before the flight; only fractional ones may change.
     """
     p = p.copy()
     open_ = np.flatnonzero((p > 0) & (p < 1))
     options = [[(m >> i) & 1 for i in range(len(open_))] for m in range(1 << len(open_))]
-    p[open_] = min(options, key=lambda s: (abs(float(((s - p[open_]) * size[open_]).sum())), abs(sum(s) - p[open_].sum()), s))
+    count = round(float(p[open_].sum()))
+    p[open_] = min(options, key=lambda s: (abs(sum(s) - count), abs(float(((s - p[open_]) * size[open_]).sum())), s))
     free = np.flatnonzero((expected > NEAR) & (expected < 1 - NEAR))
+    alone = np.eye(len(free), dtype=bool)
     while len(free):
-        error = float(((p - expected) * size).sum())
-        step = (1 - 2 * p[free]) * size[free]
+        error, number = float(((p - expected) * size).sum()), float((p - expected).sum())
+        turn = 1 - 2 * p[free]
+        step = turn * size[free]
         # one draw or two at once; a block bounds the pairs
-        after = np.abs(error + step[:, None] + np.where(np.eye(len(free), dtype=bool), 0.0, step[None, :]))
+        after = np.abs(error + step[:, None] + np.where(alone, 0.0, step[None, :]))
+        after[np.abs(number + turn[:, None] + np.where(alone, 0.0, turn[None, :])) >= 1] = np.inf
         i, j = np.unravel_index(int(np.argmin(after)), after.shape)
         if after[i, j] >= abs(error) - NEAR:
             break

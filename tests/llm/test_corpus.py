@@ -99,6 +99,14 @@ def test_flight_keeps_totals():
     assert done.sum() == pytest.approx(p.sum()) and (done * size).sum() == pytest.approx((p * size).sum())
 
 
+def test_landing_keeps_the_number_of_documents(docs):
+    rows = [r for r in cube_mix.mix(docs).collect() if r.source_size]
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        pi = own[0].target / own[0].source_size
+        assert abs(sum(r.copies for r in own) - pi * len(own)) < 1 + 1e-6
+
+
 def test_search_with_ties_and_unusable_vectors(spark):
     draw = np.random.default_rng(2)
     rows = [(k, [float(x) for x in draw.integers(-2, 3, 4)]) for k in range(300)]
