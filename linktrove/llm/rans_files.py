@@ -59,7 +59,8 @@ class IdEncoder:
         self.split = WordSplit(merges, BYTE_PATTERN, lower=False)
         self.words = Recent(self._word, limit=LIMIT // 2)
         #: words of letters alone and the marks behind them, as they stand in the text
-        self.plain = Recent(lambda w: self._word(letters_of(" " + w)), limit=LIMIT)
+        space = letters_of(" ")
+        self.plain = Recent(lambda w: self._word(space + (w if w.isascii() else letters_of(w))), limit=LIMIT)
         self.bare = Recent(lambda w: self._word(letters_of(w)), limit=LIMIT // 4)
         self.marks = Recent(self._word, limit=10_000)
         self.newline = self._word(letters_of("\n"))
@@ -79,7 +80,7 @@ class IdEncoder:
         with the letters and the marks, and hold no contraction or special string.
         """
         word = piece.rstrip(MARKS)
-        if not word.isalpha() or EXOTIC.search(word):
+        if not word.isalpha() or not word.isascii() and EXOTIC.search(word):
             return self._piece(first + piece)
         return words[word] + self.marks[piece[len(word):]] if len(word) < len(piece) else words[word]
 
@@ -91,15 +92,19 @@ class IdEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        lines = text.split("\n")
-        if any(not line or line[0].isspace() or line[-1].isspace() for line in lines):
-            lines = [text]  # white space beside a line end: not cut into lines
         out = []
-        for line in lines:
-            first, rest = spaced_pieces(line)
-            out.append((self.heads[first] if first else b"") + b"".join(map(self.pieces.__getitem__, rest)))
+        for line in text.split("\n"):
+            pieces = line.split(" ")
+            # white space beside a line end or a space may belong to one word with it
+            if "" in pieces or not line.isprintable():
+                return self._loose(text)
+            out.append(self.heads[pieces[0]] + b"".join(map(self.pieces.__getitem__, pieces[1:])))
         return self.newline.join(out)
 
+    def _loose(self, text: str) -> bytes:
+        first, rest = spaced_pieces(text)
+        return (self._piece(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
+
 
 _encoders: dict[str, IdEncoder] = {}
 
