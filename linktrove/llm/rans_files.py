@@ -19,18 +19,20 @@ raises ``ValueError``.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linktrove.llm.batches import joined
-from linktrove.llm.vocab import BYTE_PATTERN, EXOTIC, MergeList, Recent, WordSplit, letters_of, spaced_pieces
+from linktrove.llm.vocab import BYTE_PATTERN, EXOTIC, Recent, letters_of, spaced_pieces
 from linktrove.sources.scratch import materialize, new_folder
 
 BLOCK, POINT, LANES = 1 << 18, 1 << 17, 1024
@@ -53,10 +55,10 @@ class IdEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        merges = MergeList(path)
-        self.dtype = np.dtype("<u2" if len(merges.surface) <= 1 << 16 else "<u4")
-        self.special = merges.special_pattern
-        self.split = WordSplit(merges, BYTE_PATTERN, lower=False)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.find = regex.compile(BYTE_PATTERN).findall
         self.words = Recent(self._word, limit=LIMIT // 2)
         #: words of letters alone and the marks behind them, as they stand in the text
         space = letters_of(" ")
@@ -87,7 +89,7 @@ class IdEncoder:
     def _piece(self, piece: str) -> bytes:
         if EXOTIC.search(piece) or self.special is not None and self.special.search(piece):
             return self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        return b"".join(map(self.words.__getitem__, self.split.words(piece)))
+        return b"".join([self.words[letters_of(w)] for w in self.find(piece)])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -174,6 +176,7 @@ def encode_block(ids: np.ndarray, table: Table) -> tuple[bytes, list[tuple[int,
     shift, scale = np.uint64(63 - SCALE), np.uint64(SCALE)
     state = np.full(LANES, LOW, np.uint64)
     freq, start = table.freq[ids], table.start[ids]
+    most = freq << shift
     if not freq.all():
         raise ValueError("an id is not in the frequency table")
     steps = -(-len(ids) // LANES)
@@ -182,11 +185,11 @@ def encode_block(ids: np.ndarray, table: Table) -> tuple[bytes, list[tuple[int,
     for t in range(steps - 1, -1, -1):
         f, c = freq[t * LANES:(t + 1) * LANES], start[t * LANES:(t + 1) * LANES]
         x = state[:len(f)]
-        full = x >= f << shift
-        words = x[full].astype("<u4")
-        emitted.append(words)
+        full = np.flatnonzero(x >= most[t * LANES:(t + 1) * LANES])
+        words = x[full]
+        emitted.append(words.astype("<u4"))
         count += len(words)
-        x[full] >>= WORD
+        x[full] = words >> WORD
         q = x // f
         x[:] = (q << scale) + (x - q * f) + c
         if t % every == 0:
