@@ -6,12 +6,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+
+from linktrove.sources.batches import small_batches as small_batches
 
 #: Bytes of a text column that are worked on at a time (a longer text alone).
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
-#: Bytes of an Arrow batch between Spark and its Python workers.
-BATCH_BYTES = 8 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -33,14 +32,6 @@ def joined(values: pa.Array) -> pa.Buffer:
     return values.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lets Spark hand out Arrow batches of ``BATCH_BYTES`` at most, unless the session names a smaller number of bytes."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    size = spark.conf.get(name).rstrip("b")
-    if not size.isdigit() or int(size) > BATCH_BYTES:
-        spark.conf.set(name, f"{BATCH_BYTES}b")
-
-
 def unused(columns: Iterable[str], *names: str) -> list[str]:
     """The names, with underscores in front until none is a column's (Spark compares them without case)."""
     taken = {c.lower() for c in columns}

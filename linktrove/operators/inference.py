@@ -2,13 +2,15 @@
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linktrove import fixed_values as V
 from linktrove.functions.text import page_prompt_text, transcript_prompt_text
 from linktrove.functions.urls import strip
+from linktrove.sources.batches import small_batches
 from linktrove.sources.scratch import materialize
 
 # Own short default instructions; pass other templates to ``build_prompt``.
@@ -115,9 +117,11 @@ def summarize_with(
     list[str]``.  A failing batch is tried again, then row by row; what still
     fails gets the error text as its answer.  Rows without prompt get NULL.
     A call gets prompts of up to ``batch_chars`` characters together, a longer
-    prompt alone.
+    prompt alone.  A worker holds small Arrow batches and the strings of
+    one call.
     """
     names = prompts.columns
+    asked, place = names.index(prompt), names.index(out) if out in names else len(names)
     prefix = V.SUMMARY_ERROR_PREFIX  # a plain value, so that tasks need not import this package
     schema = prompts.withColumn(out, F.lit(None).cast("string")).schema
 
@@ -135,22 +139,30 @@ def summarize_with(
             return [f"{prefix} {error}"]
         return [call(fn, [one])[0] for one in batch]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def calls(lengths: list[int | None]) -> Iterator[tuple[int, int]]:
+        at, chars, some = 0, 0, False
+        for k, n in enumerate(lengths):
+            if n is not None:
+                if some and chars + n > batch_chars:
+                    yield at, k
+                    at, chars = k, 0
+                chars, some = chars + n, True
+        yield at, len(lengths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
-        for pdf in batches:
-            todo = pdf[prompt].notna()
-            answers = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
-            if todo.any():
-                fn = fn or make_fn()
-                asked = pdf.loc[todo, prompt].tolist()
-                done, batch, chars = [], [], 0
-                for text in asked:
-                    if batch and chars + len(text) > batch_chars:
-                        done += call(fn, batch)
-                        batch, chars = [], 0
-                    batch.append(text)
-                    chars += len(text)
-                answers[todo] = done + call(fn, batch)
-            yield pdf[names].assign(**{out: answers})
-
-    return prompts.mapInPandas(run, schema)
+        for batch in batches:
+            for at, end in calls(pc.utf8_length(batch.column(asked)).to_pylist()):
+                rows = batch.slice(at, end - at)
+                texts = rows.column(asked).to_pylist()
+                todo = [t for t in texts if t is not None]
+                if todo:
+                    fn = fn or make_fn()
+                    said = iter(call(fn, todo))
+                    texts = [None if t is None else next(said) for t in texts]
+                answers = pa.array(texts, pa.string(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns[:place], answers, *rows.columns[place + 1:]], names=[*names[:place], out, *names[place + 1:]])
+
+    small_batches(prompts.sparkSession)
+    return prompts.mapInArrow(run, schema)

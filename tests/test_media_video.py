@@ -213,3 +213,41 @@ def test_model_failures_become_row_text(spark):
     df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "b")], "i int, prompt string").coalesce(1)
     got = {r.i: r.summary for r in inference.summarize_with(df, make_fn).collect()}
     assert got == {1: "A", 2: "Error generating summary: no", 3: None, 4: "B"}
+
+
+def test_model_calls_hold_their_own_prompts_only(spark):
+    def make_fn():
+        import tracemalloc
+
+        tracemalloc.start()
+
+        def answer(prompts):
+            peak = tracemalloc.get_traced_memory()[1]
+            if prompts[-1].startswith("last"):
+                tracemalloc.stop()
+            return [str(peak)] * len(prompts)
+
+        return answer
+
+    # batches of 2 MB, whose strings take four times as much; calls of ten prompts
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "1000")
+    try:
+        df = spark.range(3000, numPartitions=1).selectExpr("id", "rpad(if(id = 2999, 'last', string(id)) || '\U0001f4c4', 2000, 'x') AS prompt", "id AS n")
+        got = inference.summarize_with(df, make_fn, batch_chars=20_000).collect()
+    finally:
+        spark.conf.unset(name)
+    assert [(r.id, r.n, len(r.prompt)) for r in got] == [(i, i, 2000) for i in range(3000)]
+    peak = max(int(r.summary) for r in got)
+    assert 0 < peak < 6_000_000
+
+
+def test_answers_keep_their_rows_and_columns(spark):
+    def make_fn():
+        return lambda prompts: [f"{len(prompts)} {p}" for p in prompts]
+
+    rows = [(2**60 + 1, "a", "old"), (None, None, None), (3, "bb", None), (4, "", "old"), (5, None, None), (6, "cccc", None)]
+    df = spark.createDataFrame(rows, "i long, prompt string, summary string").coalesce(1)
+    got = [tuple(r) for r in inference.summarize_with(df, make_fn, batch_chars=3).collect()]
+    assert got == [(2**60 + 1, "a", "3 a"), (None, None, None), (3, "bb", "3 bb"), (4, "", "3 "), (5, None, None), (6, "cccc", "1 cccc")]
+    assert inference.summarize_with(df.where("false"), make_fn).count() == 0
