@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linktrove.llm.batches import joined
+from linktrove.llm.batches import joined, slices
 from linktrove.llm.vocab import BYTE_PATTERN, EXOTIC, Recent, letters_of, spaced_pieces
 from linktrove.sources.scratch import materialize, new_folder
 
@@ -39,14 +40,22 @@ BLOCK, POINT, LANES = 1 << 18, 1 << 17, 1024
 SCALE = 20  # frequencies are shares of 2^SCALE
 #: Marks that follow a word; none begins or ends a contraction or a special string of the public files.
 MARKS = ".,;:!?)%#$&*"
-#: Entries of one generation of a word cache.
+#: Entries of one generation of a piece cache.
 LIMIT = 400_000
+#: Bytes of text encoded at a time (a longer text alone).
+TEXT_BYTES = 1 << 23
+#: White space beside a space or a line end may belong to one word with it; such texts are cut with care.
+LOOSE = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]"
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 
 
 class IdEncoder:
-    """Ids of a byte-level vocabulary file by the tokenizers library, with word caches."""
+    """Ids of a byte-level vocabulary file by the tokenizers library, many texts at a time.
+
+    The texts of a batch are cut into pieces at spaces and line ends; each different
+    piece is looked up once, and tokenized if it is not known.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -60,14 +69,13 @@ class IdEncoder:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.find = regex.compile(BYTE_PATTERN).findall
         self.words = Recent(self._word, limit=LIMIT // 2)
-        #: words of letters alone and the marks behind them, as they stand in the text
-        space = letters_of(" ")
-        self.plain = Recent(lambda w: self._word(space + (w if w.isascii() else letters_of(w))), limit=LIMIT)
-        self.bare = Recent(lambda w: self._word(letters_of(w)), limit=LIMIT // 4)
         self.marks = Recent(self._word, limit=10_000)
-        self.newline = self._word(letters_of("\n"))
-        self.pieces = Recent(lambda p: self._marked(self.plain, " ", p), limit=LIMIT)
-        self.heads = Recent(lambda p: self._marked(self.bare, "", p), limit=LIMIT // 4)
+        #: ids by piece: behind a space, or behind a line end where the piece begins with it
+        self.pieces = Recent(self._marked, limit=LIMIT)
+        self.space, self.newline = letters_of(" "), self._word(letters_of("\n"))
+        # the model's own cache is of no use behind these
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
@@ -75,37 +83,54 @@ class IdEncoder:
     def _word(self, letters: str) -> bytes:
         return self._bytes([t.id for t in self.model.tokenize(letters)])
 
-    def _marked(self, words: Recent, first: str, piece: str) -> bytes:
-        """Ids of a piece behind ``first``.
+    def _marked(self, piece: str) -> bytes:
+        """Ids of a piece behind a space, or of a line end and what follows it.
 
         Letters with marks behind are two words of ``BYTE_PATTERN``, the space
         with the letters and the marks, and hold no contraction or special string.
         """
+        if piece[0] == "\n":
+            before, first, space, piece = self.newline, "", "", piece[1:]
+        else:
+            before, first, space = b"", " ", self.space
         word = piece.rstrip(MARKS)
         if not word.isalpha() or not word.isascii() and EXOTIC.search(word):
-            return self._piece(first + piece)
-        return words[word] + self.marks[piece[len(word):]] if len(word) < len(piece) else words[word]
+            return before + self._piece(first + piece)
+        ids = before + self._word(space + (word if word.isascii() else letters_of(word)))
+        return ids + self.marks[piece[len(word):]] if len(word) < len(piece) else ids
 
     def _piece(self, piece: str) -> bytes:
         if EXOTIC.search(piece) or self.special is not None and self.special.search(piece):
             return self._bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         return b"".join([self.words[letters_of(w)] for w in self.find(piece)])
 
+    def encode_all(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """Ids of each text, ``end_id`` last; NULL counts as empty."""
+        width, texts = self.dtype.itemsize, texts.cast(pa.string())
+        loose = pc.fill_null(pc.match_substring_regex(texts, LOOSE), False)
+        tame = pc.if_else(loose, "", pc.fill_null(texts, ""))
+        # every line is a piece that begins with its line end, the first one too
+        lines = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(tame, "\n", " \n"), ""), " ")
+        pieces = lines.flatten().dictionary_encode()
+        known = self.pieces.all(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(known, pa.binary()).take(pieces.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int32)[lines.offsets.to_numpy()]
+        # the line end in front of the next text gives its place to the end id of this one
+        data = np.append(np.frombuffer(joined(ids), self.dtype), self.dtype.type(0))
+        data[at[1:] // width] = end_id
+        out = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at + np.int32(width)), pa.py_buffer(data)])
+        if not pc.any(loose).as_py():
+            return out
+        end = self._bytes([end_id])
+        return pa.array([self._loose(t.as_py()) + end if odd else x for t, odd, x in zip(texts, loose.to_pylist(), out.to_pylist())], pa.binary())
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        out = []
-        for line in text.split("\n"):
-            pieces = line.split(" ")
-            # white space beside a line end or a space may belong to one word with it
-            if "" in pieces or not line.isprintable():
-                return self._loose(text)
-            out.append(self.heads[pieces[0]] + b"".join(map(self.pieces.__getitem__, pieces[1:])))
-        return self.newline.join(out)
+        """Ids of one text, without an end id."""
+        return self.encode_all(pa.array([text], pa.string()), 0)[0].as_py()[:-self.dtype.itemsize]
 
     def _loose(self, text: str) -> bytes:
         first, rest = spaced_pieces(text)
-        return (self._piece(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
+        return (self._piece(first) if first else b"") + b"".join(self.pieces.all(rest))
 
 
 _encoders: dict[str, IdEncoder] = {}
@@ -124,10 +149,9 @@ def token_ids(docs: DataFrame, path: str, end_id: int, text: str = "text", id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        end = coder._bytes([end_id])
         for batch in batches:
-            ids = pa.array([coder.encode(t) + end for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            for part in slices(batch, 1, TEXT_BYTES, len(batch)):
+                yield pa.RecordBatch.from_arrays([part.column(0), coder.encode_all(part.column(1), end_id)], names=["doc_id", "ids"])
 
     return source.mapInArrow(run, "doc_id long, ids binary")
 

@@ -64,6 +64,14 @@ class Recent(dict):
             self[key] = value
         return value
 
+    def all(self, keys: list) -> list:
+        """Values of many keys."""
+        found = list(map(self.get, keys))
+        for k, value in enumerate(found):
+            if value is None:
+                found[k] = self[keys[k]]
+        return found
+
 
 class MergeList:
     """Vocabulary and ranked merges of a BPE tokenizer file.

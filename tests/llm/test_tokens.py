@@ -121,3 +121,18 @@ def test_ids_of_a_batch_are_counted_in_one_go():
     values = pa.array([b"ab", b"", b"cdef", b"g"])
     assert joined(values).to_pybytes() == b"abcdefg" and joined(values[1:3]).to_pybytes() == b"cdef"
     assert joined(values[:0]).to_pybytes() == b""
+
+
+def test_a_batch_is_encoded_piece_by_different_piece(monkeypatch):
+    coder, library = rans_files.IdEncoder(BYTE), Tokenizer.from_file(BYTE)
+    made = []
+    make = coder.pieces.make
+    monkeypatch.setattr(coder.pieces, "make", lambda piece: made.append(piece) or make(piece))
+    batch = ["one two, two\ntwo", None, "", "two two, two <|endoftext|>", "\n", " two", "two  one\t", "a b", "été 字 two,", "one\none two"] * 3
+    got = coder.encode_all(pa.array(["cut off", *batch], pa.string()).slice(1), 7)
+    for text, ids in zip(batch, got.to_pylist(), strict=True):
+        want = library.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u2").tolist() == [*want, 7], repr(text)
+    assert len(made) == len(set(made)) and {"two,", "\ntwo", "two"} <= set(made) and "off" not in made
+    assert coder.encode_all(pa.array(batch, pa.large_string()), 7).equals(got)
+    assert coder.encode_all(pa.array([], pa.string()), 7).to_pylist() == []
